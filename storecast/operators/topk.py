@@ -45,7 +45,12 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str])
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "id", "score", *carry]
         if q.empty or c.empty:
-            return pd.DataFrame({n: [] for n in cols})
+            empty = q[["qid"]].iloc[[]].reset_index(drop=True)
+            empty["id"] = c["id"].iloc[[]].reset_index(drop=True) if "id" in c else pd.Series([], dtype=object)
+            empty["score"] = pd.Series([], dtype="float64")
+            for n in carry:
+                empty[n] = c[n].iloc[[]].reset_index(drop=True) if n in c else pd.Series([], dtype=object)
+            return empty[cols]
         qv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in q["qvec"]]))
         cv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in c["values"]]))
         scores = qv @ cv.T
@@ -58,7 +63,7 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str])
                 ok = (qval[:, None] == cval[None, :]) | ~has[:, None]
                 scores = np.where(ok, scores, -np.inf)
         kk = min(k, scores.shape[1])
-        out_q, out_i, out_s = [], [], []
+        q_rows, c_rows, out_s = [], [], []
         for r in range(scores.shape[0]):
             row = scores[r]
             if kk < row.shape[0]:
@@ -68,15 +73,18 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str])
                 cand = np.nonzero(np.isfinite(row))[0]
             if cand.size == 0:
                 continue
-            order = np.lexsort((ids[cand], -row[cand]))[:kk]
-            sel = cand[order]
-            out_q.extend([q["qid"].iat[r]] * len(sel))
-            out_i.extend(sel.tolist())
+            sel = cand[np.lexsort((ids[cand], -row[cand]))[:kk]]
+            q_rows.extend([r] * len(sel))
+            c_rows.extend(sel.tolist())
             out_s.extend(row[sel].tolist())
-        res = {"qid": out_q, "id": ids[out_i] if out_i else [], "score": out_s}
+        # slice the typed inputs so empty results keep their column types
+        res = q[["qid"]].iloc[q_rows].reset_index(drop=True)
+        picked = c[["id", *carry]].iloc[c_rows].reset_index(drop=True)
+        res["id"] = picked["id"]
+        res["score"] = pd.Series(out_s, dtype="float64")
         for n in carry:
-            res[n] = c[n].to_numpy()[out_i] if out_i else []
-        return pd.DataFrame(res)
+            res[n] = picked[n]
+        return res[cols]
     return fn
 
 

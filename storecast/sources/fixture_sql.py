@@ -99,9 +99,9 @@ VIEWS["r_questions"] = """
 select conv_id * 1000 + turn qid, conv_id,
        text || case conv_id % 4
          when 0 then ' What about store ' || cast(conv_id % 100 as varchar) || '?'
-         when 1 then ' What sold on 2001-07-' || lpad(cast(conv_id % 31 + 1 as varchar), 2, '0') || '?'
+         when 1 then ' What sold on 2001-07-' || lpad(cast(conv_id * 7 % 31 + 1 as varchar), 2, '0') || '?'
          when 2 then ' Sales in Store  ' || cast(conv_id % 100 as varchar) || ' on 2001-07-'
-                     || lpad(cast(conv_id % 31 + 1 as varchar), 2, '0') || '?'
+                     || lpad(cast(conv_id * 7 % 31 + 1 as varchar), 2, '0') || '?'
          else '' end text
 from conversations where role = 'user'"""
 

@@ -153,7 +153,7 @@ def r_vectors(t: Tables) -> DataFrame:
 
 def _question_suffix(conv: Column) -> Column:
     store = (conv % 100).cast("string")
-    day = F.lpad(((conv % 31) + 1).cast("string"), 2, "0")
+    day = F.lpad(((conv * 7 % 31) + 1).cast("string"), 2, "0")
     date = F.concat(F.lit(QUESTION_MONTH + "-"), day)
     k = conv % 4
     return (F.when(k == 0, F.concat(F.lit(" What about store "), store, F.lit("?")))
