@@ -69,7 +69,7 @@ def currency(x: Column, prefix: str = "$") -> Column:
 
 def signed_percent(x: Column) -> Column:
     """``+12.3%`` / ``-4.0%``: one decimal, half-up, explicit sign."""
-    return F.format_string("%+.1f%%", F.round(x.cast("decimal(38,6)"), 1))
+    return F.format_string("%+.1f%%", F.round(x.cast("decimal(38,6)"), 1).cast("double"))
 
 
 def store_label(store: Column, city: Column) -> Column:

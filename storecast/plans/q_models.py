@@ -1 +1,156 @@
-"""Registered queries."""
+"""Registered queries: boosted trees, trend models, scoring and what-if runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from storecast.models import trees, trend
+from storecast.operators import encode, joins
+from storecast.operators import scenario as sc
+from storecast.plans import features as ft
+from storecast.plans.catalog import query
+from storecast.plans.q_report import grid
+from storecast.sources import fixtures as fx
+from storecast.sources.tables import Tables
+
+P = trees.SMALL_PARAMS
+FORECAST_DAYS = 30
+_CACHE: dict[tuple, object] = {}
+
+
+def _key(t: Tables, name: str) -> tuple:
+    return (t.spark.sparkContext.applicationId, t.sf_dir, name)
+
+
+def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The feature table with its split, cut from its lineage once (the trees
+    read it many times), and the fitted code table."""
+    k = _key(t, "features")
+    if k not in _CACHE:
+        j = ft.joined(t)
+        codes = encode.fit_codes(j)
+        table = ft.with_split(encode.apply_codes(j, codes)).checkpoint(eager=True)
+        _CACHE[k] = (table, codes)
+    return _CACHE[k]
+
+
+def fitted(t: Tables):
+    """M1/M2: boosted model with patience on the validation split (cached per
+    session and input, as the source caches its loaded model)."""
+    k = _key(t, "gbt")
+    if k not in _CACHE:
+        table, _ = training_frame(t)
+        train = table.where(F.col("split") == "train")
+        val = table.where(F.col("split") == "validate")
+        _CACHE[k] = trees.fit_early_stop(train, val, P["max_iter"], P["step"], P["depth"],
+                                         P["seed"], P["patience"])
+    return _CACHE[k]
+
+
+@query("mae", """
+select cast(avg(abs(cast(v.sales as double) - m.pred)) as decimal(18,4)) mae, count(*) n
+from r_sales v join (select family, avg(cast(sales as double)) pred from r_sales
+                     where date < date '2001-01-01' group by family) m using (family)
+where v.date >= date '2001-01-01'""")
+def mae(t):
+    """A5: mean absolute error of a given prediction column (here the
+    family's mean training sales) on the validation split."""
+    s = fx.r_sales(t)
+    split = F.lit(ft.SPLIT_DATE).cast("date")
+    means = s.where(F.col("date") < split).groupBy("family").agg(
+        F.avg(F.col("sales").cast("double")).alias("pred"))
+    v = s.where(F.col("date") >= split).join(means, "family")
+    return v.agg(F.avg(F.abs(F.col("sales").cast("double") - F.col("pred"))).cast("decimal(18,4)").alias("mae"),
+                 F.count(F.lit(1)).alias("n"))
+
+
+@query("gbt_fit_score")
+def gbt_fit_score(t):
+    """Validation rows scored by the boosted model (clipped at 0)."""
+    table, _ = training_frame(t)
+    model, _, _ = fitted(t)
+    val = table.where(F.col("split") == "validate")
+    return trees.score(model, val).select(*ft.ROW_KEYS, "date", "store_nbr", "family",
+                                          "sales", "prediction")
+
+
+@query("gbt_early_stop")
+def gbt_early_stop(t):
+    """M2: validation error after each round and the round kept."""
+    _, errors, best = fitted(t)
+    rows = [(i + 1, float(e), i == best) for i, e in enumerate(errors)]
+    return t.spark.createDataFrame(rows, "round int, val_mse double, is_best boolean")
+
+
+def request_features(t: Tables) -> DataFrame:
+    """scoring rows from the requests, with default regressors and codes."""
+    _, codes = training_frame(t)
+    r = joins.join_stores(fx.r_requests(t), fx.r_stores(t))
+    r = r.select("store_nbr", "family", "date", "promo", "city", "state", "type",
+                 F.col("promo").alias("onpromotion"),
+                 F.lit(sc.DEFAULT_TRANSACTIONS).alias("transactions"),
+                 F.lit(sc.DEFAULT_OIL).alias("dcoilwtico"),
+                 F.lit(sc.DEFAULT_HOLIDAY).alias("is_holiday"))
+    from storecast.functions.calendar import calendar_columns
+    return encode.apply_codes(r.withColumns(calendar_columns(F.col("date"))), codes)
+
+
+@query("score_requests")
+def score_requests(t):
+    """M3: predicted sales of every (store, family, date, promo) request."""
+    model, _, _ = fitted(t)
+    out = trees.score(model, request_features(t))
+    return out.select("store_nbr", "family", "date", "promo", "prediction")
+
+
+@query("scenario_run")
+def scenario_run(t):
+    """M4: baseline vs scenario predictions over 7 days for every target and
+    scenario, summed and compared (A7)."""
+    model, _, _ = fitted(t)
+    _, codes = training_frame(t)
+    g = joins.join_stores(grid(t), fx.r_stores(t))
+    f = encode.apply_codes(sc.scenario_features(g), codes)
+    scored = trees.score(model, f)
+    tot = scored.groupBy("store_nbr", "family", "scenario").agg(
+        F.sum(F.when(F.col("branch") == "baseline", F.col("prediction"))).alias("total_base"),
+        F.sum(F.when(F.col("branch") == "scenario", F.col("prediction"))).alias("total_scenario"))
+    return sc.impact(tot)
+
+
+def series_frame(t: Tables) -> DataFrame:
+    """Daily series per family plus the company total ``ALL`` (one pass over
+    the joined facts; the total is summed from the family rows)."""
+    j = ft.joined(t)
+    fam = j.groupBy(F.col("family").alias("series"), F.col("date").alias("ds")).agg(
+        F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("y"),
+        F.avg("dcoilwtico").cast("double").alias("dcoilwtico"),
+        F.max("is_holiday").alias("is_holiday"))
+    fam = fam.where(F.col("series").isNotNull())
+    total = fam.groupBy("ds").agg(F.sum("y").alias("y"), F.avg("dcoilwtico").alias("dcoilwtico"),
+                                  F.max("is_holiday").alias("is_holiday"))
+    return fam.unionByName(total.withColumn("series", F.lit("ALL")))
+
+
+@query("trend_fit")
+def trend_fit(t):
+    """M5: one trend+seasonality model per series, fitted on the train split."""
+    s = series_frame(t).where(F.col("ds") < F.lit(ft.SPLIT_DATE).cast("date"))
+    return trend.fit(s).select("series", "t0", "t_days", "n_obs", "sigma",
+                               F.size("beta").alias("n_coef"))
+
+
+@query("trend_backtest")
+def trend_backtest(t):
+    """Hold-out MAE per series (fit before the split date, score after)."""
+    return trend.backtest(series_frame(t), ft.SPLIT_DATE)
+
+
+@query("trend_forecast")
+def trend_forecast(t):
+    """M6: refit on all days, forecast history + 30 days with an 80 % band."""
+    s = series_frame(t)
+    coefs = trend.fit(s)
+    rows = trend.future_frame(s, FORECAST_DAYS, by="series")
+    return trend.predict(rows, coefs)
