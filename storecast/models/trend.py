@@ -21,8 +21,8 @@ HINGE_SPAN = 0.8
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
 INTERVAL_Z = 1.2815515655446004   # two-sided 80 % normal interval
-RIDGE_HINGE = 10.0
-RIDGE_OTHER = 0.01
+RIDGE_HINGE = 0.1
+RIDGE_OTHER = 1e-6
 DEFAULT_OIL = 45.0
 FUTURE_HOLIDAY = 0
 
