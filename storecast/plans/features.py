@@ -47,7 +47,7 @@ def oil_filled(facts: DataFrame, t: Tables) -> DataFrame:
 def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = False) -> DataFrame:
     """Facts with oil, stores, holiday flag, transactions and calendar columns."""
     if facts is None:
-        facts = union_fresh(history(t), fresh(fx.r_buffer(t)))
+        facts = facts_of(t)
     j = facts.join(F.broadcast(oil_filled(facts, t)), "date", "left")
     j = joins.join_stores(j, fx.r_stores(t))
     j = joins.join_holidays(j, fx.r_holidays(t), dedupe=dedupe_holidays)
@@ -55,10 +55,32 @@ def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = Fa
     return j.withColumns(calendar_columns(F.col("date")))
 
 
+def code_inputs(facts: DataFrame, stores: DataFrame) -> DataFrame:
+    """The encoded columns as the joined table holds them, from a narrow input.
+
+    Every join after the facts is a left join, and the holiday fan-out only
+    repeats rows, so the joined table's values of family, city, state and type
+    are those of the distinct (store, family) pairs of the facts joined to the
+    stores.  Fitting on these pairs gives the same codes without computing the
+    oil, holiday and transaction joins first.
+    """
+    pairs = facts.select("store_nbr", "family").distinct()
+    return joins.join_stores(pairs, stores)
+
+
+def fit_feature_codes(t: Tables, facts: DataFrame) -> DataFrame:
+    return encode.fit_codes(code_inputs(facts, fx.r_stores(t)))
+
+
+def facts_of(t: Tables) -> DataFrame:
+    return union_fresh(history(t), fresh(fx.r_buffer(t)))
+
+
 def feature_table(t: Tables, dedupe_holidays: bool = False, codes: DataFrame | None = None) -> DataFrame:
-    j = joined(t, dedupe_holidays=dedupe_holidays)
+    facts = facts_of(t)
     if codes is None:
-        codes = encode.fit_codes(j)
+        codes = fit_feature_codes(t, facts)
+    j = joined(t, facts, dedupe_holidays=dedupe_holidays)
     out = encode.apply_codes(j, codes)
     cols = [*ROW_KEYS, "date", "store_nbr", "family", "sales", "onpromotion", "dcoilwtico",
             "city", "state", "type", "is_holiday", "transactions", "day_of_week", "month",

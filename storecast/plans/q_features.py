@@ -143,13 +143,14 @@ def union_fresh(t):
 @query("label_encode", "select c col, v value, code from codes", extra=FACT_CTES)
 def label_encode(t):
     """Codes of family, city, state and type over the joined facts."""
-    return encode.fit_codes(ft.joined(t), materialize=False)
+    return encode.fit_codes(ft.code_inputs(ft.facts_of(t), fx.r_stores(t)), materialize=False)
 
 
 @query("family_classes", "select v value, code from codes where c = 'family'", extra=FACT_CTES)
 def family_classes(t):
     """A3: the sorted distinct families (the fitted classes)."""
-    return encode.classes(encode.fit_codes(ft.joined(t), materialize=False), "family")
+    codes = encode.fit_codes(ft.code_inputs(ft.facts_of(t), fx.r_stores(t)), materialize=False)
+    return encode.classes(codes, "family")
 
 
 FEATURE_COLS = ("order_id, line_no, part_id, msg_id, date, store_nbr, family, sales, onpromotion, "
@@ -193,7 +194,7 @@ left join codes ct on ct.c = 'type' and ct.v = coalesce(s.type, 'nan')""", extra
 def encode_lookup(t):
     """Requests mapped to the fitted codes; an unseen value gives null
     (``strict=True`` fails instead)."""
-    codes = encode.fit_codes(ft.joined(t))
+    codes = ft.fit_feature_codes(t, ft.facts_of(t))
     req = joins.join_stores(fx.r_requests(t), fx.r_stores(t))
     out = encode.apply_codes(req, codes)
     return out.select("store_nbr", "family", "date", "family_encoded", "city_encoded",

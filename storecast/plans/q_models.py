@@ -28,8 +28,9 @@ def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
     read it many times), and the fitted code table."""
     k = _key(t, "features")
     if k not in _CACHE:
-        j = ft.joined(t)
-        codes = encode.fit_codes(j)
+        facts = ft.facts_of(t)
+        codes = ft.fit_feature_codes(t, facts)
+        j = ft.joined(t, facts)
         table = ft.with_split(encode.apply_codes(j, codes)).checkpoint(eager=True)
         _CACHE[k] = (table, codes)
     return _CACHE[k]
