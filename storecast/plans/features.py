@@ -44,18 +44,60 @@ def oil_filled(facts: DataFrame, t: Tables) -> DataFrame:
     return fill.fill_over_dates(facts.select("date"), oil_by_day(t))
 
 
-def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = False) -> DataFrame:
+def fact_keys(facts: DataFrame) -> DataFrame:
+    """The distinct dates and the distinct (store, family) pairs of the facts.
+
+    Both sets come from one pass over the facts; partial aggregation collapses
+    them map-side.  Their size is bounded by the domains (calendar days, stores
+    x families), not by the fact.  The result is cut from its lineage with a
+    reliable checkpoint, so the oil fill and the code fit both read it and
+    neither reads the facts again.
+    """
+    def key(is_date, date, store, family):
+        return F.struct(F.lit(is_date).alias("is_date"), date.alias("date"),
+                        store.alias("store_nbr"), family.alias("family"))
+    both = F.array(
+        key(True, F.col("date"), F.lit(None).cast("int"), F.lit(None).cast("string")),
+        key(False, F.lit(None).cast("date"), F.col("store_nbr").cast("int"),
+            F.col("family").cast("string")))
+    return facts.select(F.inline(both)).distinct().checkpoint(eager=True)
+
+
+def key_dates(keys: DataFrame) -> DataFrame:
+    return keys.where(F.col("is_date")).select("date")
+
+
+def key_pairs(keys: DataFrame) -> DataFrame:
+    return keys.where(~F.col("is_date")).select("store_nbr", "family")
+
+
+def checked_stores(t: Tables) -> DataFrame:
+    """The store table, broadcast-hinted when its size check passes (the
+    check runs once per build, and every store join reuses its outcome)."""
+    return joins.broadcast_if_small(fx.r_stores(t))
+
+
+def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = False,
+           keys: DataFrame | None = None, stores: DataFrame | None = None) -> DataFrame:
     """Facts with oil, stores, holiday flag, transactions and calendar columns."""
     if facts is None:
         facts = facts_of(t)
-    j = facts.join(F.broadcast(oil_filled(facts, t)), "date", "left")
-    j = joins.join_stores(j, fx.r_stores(t))
+    if keys is None:
+        keys = fact_keys(facts)
+    if stores is None:
+        stores = checked_stores(t)
+    oil = fill.fill_over_dates(key_dates(keys), oil_by_day(t))
+    # The transaction join is the one shuffle join; it runs first, so the facts
+    # cross the shuffle narrow and before the holiday fan-out.  The broadcast
+    # joins that follow stay in the same stage.
+    j = joins.join_transactions(facts, fx.r_transactions(t))
+    j = j.join(F.broadcast(oil), "date", "left")
+    j = joins.join_stores(j, stores, checked=False)
     j = joins.join_holidays(j, fx.r_holidays(t), dedupe=dedupe_holidays)
-    j = joins.join_transactions(j, fx.r_transactions(t))
     return j.withColumns(calendar_columns(F.col("date")))
 
 
-def code_inputs(facts: DataFrame, stores: DataFrame) -> DataFrame:
+def code_inputs(keys: DataFrame, stores: DataFrame) -> DataFrame:
     """The encoded columns as the joined table holds them, from a narrow input.
 
     Every join after the facts is a left join, and the holiday fan-out only
@@ -64,12 +106,13 @@ def code_inputs(facts: DataFrame, stores: DataFrame) -> DataFrame:
     stores.  Fitting on these pairs gives the same codes without computing the
     oil, holiday and transaction joins first.
     """
-    pairs = facts.select("store_nbr", "family").distinct()
-    return joins.join_stores(pairs, stores)
+    return joins.join_stores(key_pairs(keys), stores, checked=False)
 
 
-def fit_feature_codes(t: Tables, facts: DataFrame) -> DataFrame:
-    return encode.fit_codes(code_inputs(facts, fx.r_stores(t)))
+def fit_feature_codes(t: Tables, keys: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    if stores is None:
+        stores = checked_stores(t)
+    return encode.fit_codes(code_inputs(keys, stores))
 
 
 def facts_of(t: Tables) -> DataFrame:
@@ -78,9 +121,11 @@ def facts_of(t: Tables) -> DataFrame:
 
 def feature_table(t: Tables, dedupe_holidays: bool = False, codes: DataFrame | None = None) -> DataFrame:
     facts = facts_of(t)
+    keys = fact_keys(facts)
+    stores = checked_stores(t)
     if codes is None:
-        codes = fit_feature_codes(t, facts)
-    j = joined(t, facts, dedupe_holidays=dedupe_holidays)
+        codes = fit_feature_codes(t, keys, stores)
+    j = joined(t, facts, dedupe_holidays=dedupe_holidays, keys=keys, stores=stores)
     out = encode.apply_codes(j, codes)
     cols = [*ROW_KEYS, "date", "store_nbr", "family", "sales", "onpromotion", "dcoilwtico",
             "city", "state", "type", "is_holiday", "transactions", "day_of_week", "month",

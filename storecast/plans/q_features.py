@@ -143,13 +143,15 @@ def union_fresh(t):
 @query("label_encode", "select c col, v value, code from codes", extra=FACT_CTES)
 def label_encode(t):
     """Codes of family, city, state and type over the joined facts."""
-    return encode.fit_codes(ft.code_inputs(ft.facts_of(t), fx.r_stores(t)), materialize=False)
+    keys = ft.fact_keys(ft.facts_of(t))
+    return encode.fit_codes(ft.code_inputs(keys, ft.checked_stores(t)), materialize=False)
 
 
 @query("family_classes", "select v value, code from codes where c = 'family'", extra=FACT_CTES)
 def family_classes(t):
     """A3: the sorted distinct families (the fitted classes)."""
-    codes = encode.fit_codes(ft.code_inputs(ft.facts_of(t), fx.r_stores(t)), materialize=False)
+    keys = ft.fact_keys(ft.facts_of(t))
+    codes = encode.fit_codes(ft.code_inputs(keys, ft.checked_stores(t)), materialize=False)
     return encode.classes(codes, "family")
 
 
@@ -164,6 +166,21 @@ def feature_table(t):
     return ft.feature_table(t)
 
 
+FEATURE_ARRAY = "[" + ", ".join(f"coalesce(cast({c} as double), 0.0)" for c in ft.FEATURES) + "]"
+
+
+@query("feature_vector", f"select order_id, line_no, part_id, msg_id, {FEATURE_ARRAY} features from features",
+       extra=FACT_CTES)
+def feature_vector(t):
+    """The 13 model features in fixed order, one vector per row (a
+    missing value reads as 0), shown as an array of doubles."""
+    from pyspark.ml.functions import vector_to_array
+
+    from storecast.models.trees import assemble
+    v = assemble(ft.feature_table(t))
+    return v.select(*ft.ROW_KEYS, vector_to_array("features").alias("features"))
+
+
 @query("time_split", """
 select order_id, line_no, part_id, msg_id, date,
        case when date < date '2001-01-01' then 'train' else 'validate' end split from facts""",
@@ -194,7 +211,7 @@ left join codes ct on ct.c = 'type' and ct.v = coalesce(s.type, 'nan')""", extra
 def encode_lookup(t):
     """Requests mapped to the fitted codes; an unseen value gives null
     (``strict=True`` fails instead)."""
-    codes = ft.fit_feature_codes(t, ft.facts_of(t))
+    codes = ft.fit_feature_codes(t, ft.fact_keys(ft.facts_of(t)))
     req = joins.join_stores(fx.r_requests(t), fx.r_stores(t))
     out = encode.apply_codes(req, codes)
     return out.select("store_nbr", "family", "date", "family_encoded", "city_encoded",

@@ -29,8 +29,10 @@ def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
     k = _key(t, "features")
     if k not in _CACHE:
         facts = ft.facts_of(t)
-        codes = ft.fit_feature_codes(t, facts)
-        j = ft.joined(t, facts)
+        keys = ft.fact_keys(facts)
+        stores = ft.checked_stores(t)
+        codes = ft.fit_feature_codes(t, keys, stores)
+        j = ft.joined(t, facts, keys=keys, stores=stores)
         table = ft.with_split(encode.apply_codes(j, codes)).checkpoint(eager=True)
         _CACHE[k] = (table, codes)
     return _CACHE[k]
