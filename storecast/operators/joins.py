@@ -10,17 +10,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest side (rows) we broadcast after a check.  ~32 bytes/row for the dims
-# here keeps it far below spark.sql.autoBroadcastJoinThreshold-sized tables.
+# Largest side we broadcast after a check: at most this many rows and, by a
+# schema-based width estimate, at most this many bytes (well under the driver
+# and executor memory a broadcast takes on a large cluster).
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# Estimated bytes per value, by type name (strings and nested values are guesses
+# on the large side, so the bound errs toward not broadcasting).
+_WIDTH = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "float": 4,
+          "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16,
+          "string": 32, "binary": 32}
 
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``side`` if it has at most ``max_rows`` rows, else return it
-    unchanged (shuffle join).  The check reads at most ``max_rows + 1`` rows."""
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+
+def _value_bytes(dt: T.DataType) -> int:
+    if isinstance(dt, T.StructType):
+        return sum(_value_bytes(f.dataType) for f in dt.fields)
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return 256
+    return _WIDTH.get(dt.typeName(), 16)
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Estimated width of one row of ``schema`` in bytes (plus row overhead)."""
+    return 16 + _value_bytes(schema)
+
+
+def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``side`` if it has at most ``max_rows`` rows and its estimated
+    size is at most ``max_bytes``; else return it unchanged (shuffle join, with
+    AQE free to re-plan).  The check reads at most ``limit + 1`` rows."""
+    limit = min(max_rows, max(0, max_bytes // row_bytes(side.schema)))
+    n = side.limit(limit + 1).count()
+    return F.broadcast(side) if n <= limit else side
 
 
 def join_oil(fact: DataFrame, oil_by_day: DataFrame) -> DataFrame:
@@ -53,8 +78,16 @@ def join_holidays(fact: DataFrame, holidays: DataFrame, dedupe: bool = False) ->
     return j.withColumn("is_holiday", F.coalesce(F.col("is_holiday"), F.lit(0)))
 
 
-def join_transactions(fact: DataFrame, tx: DataFrame) -> DataFrame:
+def join_transactions(fact: DataFrame, tx: DataFrame, checked: bool = True) -> DataFrame:
     """Fact left join transactions on (date, store_nbr); missing -> 0.
-    Transactions grow with stores x days, so the planner/AQE choose the join."""
-    j = fact.join(tx.select("date", "store_nbr", "transactions"), ["date", "store_nbr"], "left")
+
+    Transactions grow with stores x days, far slower than the fact.  With
+    ``checked`` the side is first cut from its lineage (a reliable checkpoint,
+    so the size check and the join read it once) and broadcast when it passes
+    the size check: the fact is then joined without a shuffle.  A side too
+    large for that is joined by the planner (sort-merge, AQE skew splits)."""
+    side = tx.select("date", "store_nbr", "transactions")
+    if checked:
+        side = broadcast_if_small(side.checkpoint(eager=True))
+    j = fact.join(side, ["date", "store_nbr"], "left")
     return j.withColumn("transactions", F.coalesce(F.col("transactions"), F.lit(0)).cast("bigint"))

@@ -87,9 +87,9 @@ def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = Fa
     if stores is None:
         stores = checked_stores(t)
     oil = fill.fill_over_dates(key_dates(keys), oil_by_day(t))
-    # The transaction join is the one shuffle join; it runs first, so the facts
-    # cross the shuffle narrow and before the holiday fan-out.  The broadcast
-    # joins that follow stay in the same stage.
+    # The transaction join is the only side that may be too large to broadcast;
+    # it runs first, so if it has to shuffle, the facts cross the shuffle narrow
+    # and before the holiday fan-out.  The broadcast joins stay in one stage.
     j = joins.join_transactions(facts, fx.r_transactions(t))
     j = j.join(F.broadcast(oil), "date", "left")
     j = joins.join_stores(j, stores, checked=False)
