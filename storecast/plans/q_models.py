@@ -33,7 +33,14 @@ def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
         stores = ft.checked_stores(t)
         codes = ft.fit_feature_codes(t, keys, stores)
         j = ft.joined(t, facts, keys=keys, stores=stores)
-        table = ft.with_split(encode.apply_codes(j, codes)).checkpoint(eager=True)
+        table = ft.with_split(encode.apply_codes(j, codes))
+        # The trees make many passes over this table: give every core a
+        # partition.  A cluster scan already has far more splits than cores, so
+        # this only spreads out inputs that arrive in very few files.
+        cores = t.spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            table = table.repartition(cores)
+        table = table.checkpoint(eager=True)
         _CACHE[k] = (table, codes)
     return _CACHE[k]
 
@@ -133,7 +140,10 @@ def series_frame(t: Tables) -> DataFrame:
     fam = fam.where(F.col("series").isNotNull())
     total = fam.groupBy("ds").agg(F.sum("y").alias("y"), F.avg("dcoilwtico").alias("dcoilwtico"),
                                   F.max("is_holiday").alias("is_holiday"))
-    return fam.unionByName(total.withColumn("series", F.lit("ALL")))
+    # One row per (series, day): bounded by the calendar.  The fits, the
+    # backtest and the future frame all read it, so it is cut from its lineage
+    # once instead of recomputing the fact joins for each reader.
+    return fam.unionByName(total.withColumn("series", F.lit("ALL"))).checkpoint(eager=True)
 
 
 @query("trend_fit")
