@@ -68,14 +68,20 @@ def daily_load(t: Tables, days: int = DAILY_DAYS) -> DataFrame:
 
 def upsert(index: DataFrame, batch: DataFrame, order_col: str | None = None) -> DataFrame:
     """Rows of ``batch`` replace index rows with the same id; within the
-    batch the last row (by ``order_col``) wins.  One aggregation by id."""
+    batch the last row (by ``order_col``) wins.
+
+    Only the batch is grouped by id.  The index (large, ids unique) loses the
+    replaced ids through a left anti join with the batch ids; those are
+    broadcast when they pass the size check, so the index is not shuffled.
+    """
     cols = index.columns
-    old = index.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_seq"))
     seq = F.col(order_col).cast("bigint") if order_col else F.lit(0).cast("bigint")
-    new = batch.select(*cols, F.lit(1).alias("_gen"), seq.alias("_seq"))
-    both = old.unionByName(new)
-    win = both.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("_gen", "_seq")).alias("_r"))
-    return win.select("_r.*")
+    latest = (batch.select(*cols, seq.alias("_seq")).groupBy("id")
+                   .agg(F.max_by(F.struct(*cols), F.col("_seq")).alias("_r"))
+                   .select("_r.*"))
+    ids = joins.broadcast_if_small(latest.select("id"))
+    kept = index.join(ids, "id", "left_anti")
+    return kept.select(*cols).unionByName(latest.select(*cols))
 
 
 def empty_like(index: DataFrame) -> DataFrame:
