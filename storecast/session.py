@@ -53,8 +53,9 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it.  Only when it is unset (tests, the bench) do we make
-    one of our own, so ``DataFrame.checkpoint()`` always has a reliable home.
+    The cluster sets it.  Only when it is unset on a local master (tests, the
+    bench) do we make one of our own; a cluster without it is an error, since
+    a machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder "
+                               "(HDFS, object store) that every executor can reach")
         conf_dir = tempfile.mkdtemp(prefix="storecast-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
