@@ -113,7 +113,9 @@ def fallback_message(questions: DataFrame, sugg: DataFrame) -> DataFrame:
 
 def answer_table(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Per question: the prompt when records were found, else the fallback message."""
-    found = retrieve(questions, index)
+    # The context and the fallback both read the matches (at most k rows per
+    # question), so the scoring runs once and is cut from its lineage.
+    found = retrieve(questions, index).checkpoint(eager=True)
     ctx = context(found, questions)
     prompts = ctx.select("qid", prompt_text(F.col("context"), F.col("text")).alias("prompt"),
                          F.lit(None).cast("string").alias("message"))
