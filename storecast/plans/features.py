@@ -78,8 +78,14 @@ def checked_stores(t: Tables) -> DataFrame:
 
 
 def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = False,
-           keys: DataFrame | None = None, stores: DataFrame | None = None) -> DataFrame:
-    """Facts with oil, stores, holiday flag, transactions and calendar columns."""
+           keys: DataFrame | None = None, stores: DataFrame | None = None,
+           transactions: bool = True) -> DataFrame:
+    """Facts with oil, stores, holiday flag, transactions and calendar columns.
+
+    The transaction side is one row per (date, store) (it is an aggregate on
+    those keys), so its join adds a column and never repeats a row.  Readers
+    that do not use the column pass ``transactions=False`` and skip it.
+    """
     if facts is None:
         facts = facts_of(t)
     if keys is None:
@@ -90,7 +96,7 @@ def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = Fa
     # The transaction join is the only side that may be too large to broadcast;
     # it runs first, so if it has to shuffle, the facts cross the shuffle narrow
     # and before the holiday fan-out.  The broadcast joins stay in one stage.
-    j = joins.join_transactions(facts, fx.r_transactions(t))
+    j = joins.join_transactions(facts, fx.r_transactions(t)) if transactions else facts
     j = j.join(F.broadcast(oil), "date", "left")
     j = joins.join_stores(j, stores, checked=False)
     j = joins.join_holidays(j, fx.r_holidays(t), dedupe=dedupe_holidays)

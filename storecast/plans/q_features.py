@@ -197,7 +197,7 @@ select date ds, cast(coalesce(sum(sales), 0) as decimal(38,4)) y,
 from joined group by date""", extra=FACT_CTES)
 def daily_series(t):
     """A2: daily company series (sum sales, mean oil, max holiday)."""
-    return ft.daily_series(ft.joined(t))
+    return ft.daily_series(ft.joined(t, transactions=False))
 
 
 @query("encode_lookup", """

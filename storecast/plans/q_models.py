@@ -132,7 +132,7 @@ def scenario_run(t):
 def series_frame(t: Tables) -> DataFrame:
     """Daily series per family plus the company total ``ALL`` (one pass over
     the joined facts; the total is summed from the family rows)."""
-    j = ft.joined(t)
+    j = ft.joined(t, transactions=False)
     fam = j.groupBy(F.col("family").alias("series"), F.col("date").alias("ds")).agg(
         F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("y"),
         F.avg("dcoilwtico").cast("double").alias("dcoilwtico"),
