@@ -11,8 +11,9 @@ Plan (no cross join, no pair rows):
 3. Queries are copied to every corpus block of their key and corpus rows to
    every query block: a (key, query block, corpus block) cell holds at most
    ``qblock_rows x block_rows`` scores.
-4. ``cogroup.applyInPandas`` scores a cell as one matrix product and emits
-   only each query's local top-k (ties broken by id).  The remaining filter
+4. ``cogroup.applyInPandas`` scores a cell as matrix products over chunks of
+   ``SCORE_CHUNK`` queries and emits only each query's local top-k (ties
+   broken by id).  The remaining filter
    columns (e.g. the date when routed by store) are applied in the cell.
 5. A window per query keeps the global top-k of its candidates (at most
    k x corpus blocks rows per query).
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096       # corpus rows per cell
-QBLOCK_ROWS = 1024      # query rows per cell
+QBLOCK_ROWS = 8192      # query rows per cell (corpus rows are copied once per query block)
+SCORE_CHUNK = 1024      # queries scored at once inside a cell (bounds the score matrix)
 ALL = "all"
 
 
@@ -41,7 +43,8 @@ def _unit_rows(vecs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str]):
+def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str],
+                 chunk: int = SCORE_CHUNK):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "id", "score", *carry]
         if q.empty or c.empty:
@@ -53,30 +56,33 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str])
             return empty[cols]
         qv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in q["qvec"]]))
         cv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in c["values"]]))
-        scores = qv @ cv.T
         ids = c["id"].to_numpy()
-        for qcol, ccol in match:
-            qval = q[qcol].to_numpy()
-            cval = c[ccol].to_numpy()
-            has = pd.notna(qval)
-            if has.any():
-                ok = (qval[:, None] == cval[None, :]) | ~has[:, None]
-                scores = np.where(ok, scores, -np.inf)
-        kk = min(k, scores.shape[1])
+        cvals = {ccol: c[ccol].to_numpy() for _, ccol in match}
+        kk = min(k, cv.shape[0])
         q_rows, c_rows, out_s = [], [], []
-        for r in range(scores.shape[0]):
-            row = scores[r]
-            if kk < row.shape[0]:
-                thr = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
-                cand = np.nonzero((row >= thr) & np.isfinite(row))[0]
-            else:
-                cand = np.nonzero(np.isfinite(row))[0]
-            if cand.size == 0:
-                continue
-            sel = cand[np.lexsort((ids[cand], -row[cand]))[:kk]]
-            q_rows.extend([r] * len(sel))
-            c_rows.extend(sel.tolist())
-            out_s.extend(row[sel].tolist())
+        # Score the cell's queries in chunks, so the score matrix held at once is
+        # at most ``chunk`` x corpus block whatever the query block size.
+        for lo in range(0, qv.shape[0], chunk):
+            scores = qv[lo:lo + chunk] @ cv.T
+            for qcol, ccol in match:
+                qval = q[qcol].to_numpy()[lo:lo + chunk]
+                has = pd.notna(qval)
+                if has.any():
+                    ok = (qval[:, None] == cvals[ccol][None, :]) | ~has[:, None]
+                    scores = np.where(ok, scores, -np.inf)
+            for r in range(scores.shape[0]):
+                row = scores[r]
+                if kk < row.shape[0]:
+                    thr = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
+                    cand = np.nonzero((row >= thr) & np.isfinite(row))[0]
+                else:
+                    cand = np.nonzero(np.isfinite(row))[0]
+                if cand.size == 0:
+                    continue
+                sel = cand[np.lexsort((ids[cand], -row[cand]))[:kk]]
+                q_rows.extend([lo + r] * len(sel))
+                c_rows.extend(sel.tolist())
+                out_s.extend(row[sel].tolist())
         # slice the typed inputs so empty results keep their column types
         res = q[["qid"]].iloc[q_rows].reset_index(drop=True)
         picked = c[["id", *carry]].iloc[c_rows].reset_index(drop=True)
@@ -108,7 +114,8 @@ def route_queries(queries: DataFrame, routes: Sequence[tuple[str, str]]) -> Data
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int,
          filters: Sequence[tuple[str, str]] = (), carry: Sequence[str] = (),
-         block_rows: int = BLOCK_ROWS, qblock_rows: int = QBLOCK_ROWS) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, qblock_rows: int = QBLOCK_ROWS,
+         score_chunk: int = SCORE_CHUNK) -> DataFrame:
     """Top-``k`` corpus rows per query by cosine similarity.
 
     queries: ``qid``, ``qvec`` (array) and one nullable column per filter.
@@ -142,7 +149,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int,
         [T.StructField("qid", qtype), T.StructField("id", T.StringType()),
          T.StructField("score", T.DoubleType())]
         + [T.StructField(n, cschema[n]) for n in carry])
-    fn = _top_in_cell(k, [(qc, cc) for qc, cc in filters], list(carry))
+    fn = _top_in_cell(k, [(qc, cc) for qc, cc in filters], list(carry), score_chunk)
     cand = (q.select(*cell, "qid", "qvec", *[qc for qc, _ in filters]).groupBy(*cell)
              .cogroup(c.select(*cell, "id", "values", *dict.fromkeys([*fcols, *carry])).groupBy(*cell))
              .applyInPandas(fn, out_schema))

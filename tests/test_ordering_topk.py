@@ -44,11 +44,15 @@ def test_topk_matches_brute_force_small_blocks(spark):
     qs = [(q, v, (s if s is not None and s < 4 else None)) for q, v, s in qs]
     cdf = spark.createDataFrame(cs, "id string, values array<double>, store_nbr int")
     qdf = spark.createDataFrame(qs, "qid long, qvec array<double>, f_store int")
-    got = topk(qdf, cdf, 7, filters=[("f_store", "store_nbr")], block_rows=37, qblock_rows=6)
-    res = {}
-    for r in got.orderBy("qid", "rank").collect():
-        res.setdefault(r.qid, []).append(r.id)
-    assert res == _brute_filtered(qs, cs, 7)
+    want = _brute_filtered(qs, cs, 7)
+    # small blocks, and a large query block scored in chunks of 4
+    for blocks in ({"block_rows": 37, "qblock_rows": 6},
+                   {"block_rows": 64, "qblock_rows": 100, "score_chunk": 4}):
+        got = topk(qdf, cdf, 7, filters=[("f_store", "store_nbr")], **blocks)
+        res = {}
+        for r in got.orderBy("qid", "rank").collect():
+            res.setdefault(r.qid, []).append(r.id)
+        assert res == want, blocks
 
 
 def _brute_filtered(qs, cs, k):
