@@ -139,10 +139,18 @@ def feature_table(t: Tables, dedupe_holidays: bool = False, codes: DataFrame | N
     return out.select(*cols)
 
 
-def with_split(df: DataFrame, split_date: str = SPLIT_DATE) -> DataFrame:
-    """``train`` before the split date, ``validate`` on or after it."""
-    return df.withColumn("split", F.when(F.col("date") < F.lit(split_date).cast("date"), "train")
-                         .otherwise("validate"))
+def with_split(df: DataFrame, split_date: str = SPLIT_DATE, test_date: str | None = None) -> DataFrame:
+    """``train`` before the split date, ``validate`` on or after it.  With
+    ``test_date``, rows on or after it are ``test``: the patience rule then
+    tunes on ``validate`` and the error is reported on rows it never saw (the
+    source tunes and reports on the same rows, which stays the default)."""
+    d = F.col("date")
+    split = F.when(d < F.lit(split_date).cast("date"), "train")
+    if test_date is not None:
+        split = split.when(d < F.lit(test_date).cast("date"), "validate").otherwise("test")
+    else:
+        split = split.otherwise("validate")
+    return df.withColumn("split", split)
 
 
 def daily_series(features: DataFrame) -> DataFrame:

@@ -144,3 +144,13 @@ def test_flat_to_map(spark):
     df = spark.createDataFrame([(["date", "2024-01-01", "family", "A"],)], "f array<string>")
     m = df.select(flat_to_map(F.col("f")).alias("m")).collect()[0].m
     assert m == {"date": "2024-01-01", "family": "A"}
+
+
+def test_three_way_split(spark):
+    from storecast.plans.features import with_split
+    df = spark.createDataFrame([(d(x),) for x in ["2000-12-31", "2001-01-01", "2001-05-31",
+                                                  "2001-06-01", "2001-07-01"]], "date date")
+    two = [r.split for r in with_split(df, "2001-01-01").orderBy("date").collect()]
+    assert two == ["train", "validate", "validate", "validate", "validate"]
+    three = [r.split for r in with_split(df, "2001-01-01", "2001-06-01").orderBy("date").collect()]
+    assert three == ["train", "validate", "validate", "test", "test"]
