@@ -154,3 +154,26 @@ def test_three_way_split(spark):
     assert two == ["train", "validate", "validate", "validate", "validate"]
     three = [r.split for r in with_split(df, "2001-01-01", "2001-06-01").orderBy("date").collect()]
     assert three == ["train", "validate", "validate", "test", "test"]
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from storecast.operators import joins
+    side = spark.createDataFrame([(i, f"s{i}") for i in range(50)], "k int, v string")
+    assert joins.broadcast_if_small(side) is not side                  # small: hinted
+    assert joins.broadcast_if_small(side, max_rows=10) is side         # too many rows
+    w = joins.row_bytes(side.schema)
+    assert joins.broadcast_if_small(side, max_bytes=w * 49) is side    # too many bytes
+    assert joins.broadcast_if_small(side, max_bytes=w * 50) is not side
+
+
+def test_transaction_join_same_with_or_without_broadcast(spark):
+    from storecast.operators import joins
+    fact = spark.createDataFrame([(d("2024-01-01"), 1, 5), (d("2024-01-01"), 2, 6),
+                                  (d("2024-01-02"), 1, 7), (d("2024-01-03"), 3, 8)],
+                                 "date date, store_nbr int, x int")
+    tx = spark.createDataFrame([(d("2024-01-01"), 1, 100), (d("2024-01-02"), 1, 50),
+                                (d("2024-01-03"), 9, 1)], "date date, store_nbr int, transactions int")
+    a = sorted(tuple(r) for r in joins.join_transactions(fact, tx, checked=True).collect())
+    b = sorted(tuple(r) for r in joins.join_transactions(fact, tx, checked=False).collect())
+    assert a == b
+    assert [r[-1] for r in a] == [100, 0, 50, 0]
