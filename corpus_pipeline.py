@@ -64,7 +64,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row: doc_id, n_tokens, ids, and whether decoding the
     ids gives the text's bytes (their SHA-256)."""
     start(spark)
-    coded = bytebpe.decode(bytebpe.encode(docs, BYTE_RANKS), BYTE_RANKS)
+    coded = bytebpe.encode_decode(docs, BYTE_RANKS)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

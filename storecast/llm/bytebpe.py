@@ -317,39 +317,56 @@ def _encoder(ranks: dict[bytes, int], tag: int):
     return run
 
 
+def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes end to end, with start and size by id."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    size = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+
+
+def decode_column(ids: pa.ListArray, pieces) -> pa.Array:
+    """The pieces' bytes of every row's ids, end to end."""
+    flat, start, size = pieces
+    offs = ids.offsets.to_numpy().astype(np.int64)
+    values = ids.values.to_numpy()[offs[0]:offs[-1]]
+    cells = np.concatenate([[0], np.cumsum(size[values])])[offs - offs[0]].astype(np.int32)
+    data = pt.ragged(flat, start[values], size[values])
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cells), pa.py_buffer(data)])
+
+
+def read_rank_dict(path: str) -> dict[bytes, int]:
+    return {bytes.fromhex(k): r for k, r in read_ranks(path)}
+
+
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
-    ranks = {bytes.fromhex(k): r for k, r in read_ranks(ranks_path)}
-    tag = hash(frozenset(ranks.items()))
+    ranks = read_rank_dict(ranks_path)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _encoder(ranks, tag), ENCODED)
+        _encoder(ranks, hash(frozenset(ranks.items()))), ENCODED)
 
 
-def _decoder(pieces: list[bytes]):
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    size = np.array([len(p) for p in pieces], np.int64)
-    start = np.cumsum(size) - size
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """``encoded`` (with an ``ids`` array) plus ``decoded`` (binary)."""
+    pieces = _pieces(read_rank_dict(ranks_path))
 
     def run(batches):
         for batch in batches:
-            col = batch.column("ids")
-            offs = col.offsets.to_numpy().astype(np.int64)
-            ids = col.values.to_numpy()[offs[0]:offs[-1]]
-            cells = np.concatenate([[0], np.cumsum(size[ids])])[offs - offs[0]]
-            data = pt.ragged(flat, start[ids], size[ids])
-            decoded = pa.Array.from_buffers(pa.large_binary(), len(col), [
-                None, pa.py_buffer(cells.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_column(batch.column("ids"), pieces)],
                                              names=[*batch.schema.names, "decoded"])
-    return run
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` (with an ``ids`` array) plus ``decoded``: the pieces' bytes
-    end to end."""
-    ranks = read_ranks(ranks_path)
-    pieces = [b""] * (max(r for _, r in ranks) + 1)
-    for k, r in ranks:
-        pieces[r] = bytes.fromhex(k)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return encoded.mapInArrow(_decoder(pieces), schema)
+def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, ids, and decoded: the bytes read back from those ids.  Encoder and
+    decoder run in one pass, so a task needs one Python worker."""
+    ranks = read_rank_dict(ranks_path)
+    coder, pieces = _encoder(ranks, hash(frozenset(ranks.items()))), _pieces(ranks)
+
+    def run(batches):
+        for batch in coder(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_column(batch.column("ids"), pieces)],
+                                             names=[*ENCODED.names, "decoded"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())]))

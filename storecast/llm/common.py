@@ -28,9 +28,9 @@ def start(spark: SparkSession) -> SparkSession:
     apply_conf(spark)
     ensure_checkpoint_dir(spark)
     # Whole texts travel in Arrow batches: bound them by bytes, not only rows.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     except Exception:  # setting absent in older releases
         pass
     ship_package(spark)

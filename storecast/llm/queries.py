@@ -106,8 +106,7 @@ def op4(table):
 @query("op5_byte_bpe")
 def op5(table):
     """Byte-level BPE ids and decoded bytes of every document, as digests."""
-    ids = bytebpe.encode(table("documents"), BYTE_RANKS)
-    return bytebpe.decode(ids, BYTE_RANKS).select(
+    return bytebpe.encode_decode(table("documents"), BYTE_RANKS).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
