@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 
 from storecast.llm import bytewords as bw
 from storecast.llm import pretoken as pt
@@ -67,6 +68,25 @@ class LetterWords:
         return out
 
 
+def merged(texts: list[str]) -> LetterWords:
+    """Words of many texts, made block by block so that only the words' numbers
+    and the distinct words are held for all of them."""
+    data, offsets = bw.buffers(pa.array(texts, pa.string()))
+    parts = [(lo, LetterWords(d, o)) for lo, _, d, o in bw.blocks(data, offsets)]
+    out = object.__new__(LetterWords)
+    out.n_docs = len(texts)
+    hashes = np.concatenate([w.hash for _, w in parts] or [np.empty(0, np.uint64)])
+    sizes = np.concatenate([w.size for _, w in parts] or [np.empty(0, np.int64)])
+    chars = np.concatenate([w.chars for _, w in parts] or [np.empty(0, np.uint64)])
+    out.hash, where = np.unique(hashes, return_index=True)
+    out.size = sizes[where]
+    out.chars = pt.ragged(chars, (np.cumsum(sizes) - sizes)[where], out.size)
+    out.doc = np.concatenate([w.doc.astype(np.int32) + lo for lo, w in parts] or [np.empty(0, np.int32)])
+    out.distinct = np.concatenate([np.searchsorted(out.hash, w.hash).astype(np.int32)[w.distinct]
+                                   for _, w in parts] or [np.empty(0, np.int32)])
+    return out
+
+
 class ScoreBook:
     """Scores of distinct words by hash, kept over the blocks of a worker.
     Holds at most ``limit`` words, then starts anew: never a different result."""
@@ -100,7 +120,7 @@ def features(words: LetterWords, bits: int, orders: tuple[int, ...], affixes: tu
     n = len(words.size)
     mask = np.uint64((1 << bits) - 1)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     size = words.size + 2
     first = np.cumsum(size) - size
     flat = np.zeros(int(size.sum()), np.uint64)
@@ -112,8 +132,8 @@ def features(words: LetterWords, bits: int, orders: tuple[int, ...], affixes: tu
     feats, owner = [], []
 
     def add(h, w, tag):
-        feats.append((bw.mix(h ^ bw.mix(np.full(1, tag, np.uint64))) & mask).astype(np.int64))
-        owner.append(w)
+        feats.append((bw.mix(h ^ bw.mix(np.full(1, tag, np.uint64))) & mask).astype(np.int32))
+        owner.append(w.astype(np.int32))
 
     h = np.zeros(len(flat), np.uint64)
     for k in range(1, max(orders) + 1):

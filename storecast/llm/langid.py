@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from storecast.llm import bytewords as bw
 from storecast.llm import charfeat as cf
 
-FIT_DOCS = 800
+FIT_DOCS = 600
 FIT_CHARS = 50_000
 BITS = 17
 ORDERS = (1, 2, 3)
@@ -71,13 +71,13 @@ class Pieces:
         self.mask = np.arange(PIECE)[None, :] < self.size[:, None]
 
     def fill(self, rows: np.ndarray) -> np.ndarray:
-        out = np.ones((self.n, PIECE, rows.shape[1]))
+        out = np.ones((self.n, PIECE, rows.shape[1]), np.float32)
         out[self.piece, self.slot] = rows
         return out
 
 
 def _scaled(x: np.ndarray, axes) -> np.ndarray:
-    return x / np.maximum(x.sum(axis=axes, keepdims=True), 1e-300)
+    return x / np.maximum(x.sum(axis=axes, keepdims=True), 1e-30)
 
 
 def forward_backward(scores: np.ndarray, trans: np.ndarray, p: Pieces):
@@ -85,12 +85,12 @@ def forward_backward(scores: np.ndarray, trans: np.ndarray, p: Pieces):
     before each word (``a_in``), the potentials, and after each word (``b``)."""
     labels = scores.shape[1]
     e = p.fill(np.exp(scores - scores.max(axis=1, keepdims=True)))
-    t = np.exp(trans - trans.max())
-    a_in = np.full((p.n, labels), 1.0 / labels)
-    b_out = np.ones((p.n, labels))
+    t = np.exp(trans - trans.max()).astype(np.float32)
+    a_in = np.full((p.n, labels), 1.0 / labels, np.float32)
+    b_out = np.ones((p.n, labels), np.float32)
     last = int(p.order.max()) if p.n else 0
     if last:
-        m = np.broadcast_to(np.eye(labels), (p.n, labels, labels)).copy()
+        m = np.broadcast_to(np.eye(labels, dtype=np.float32), (p.n, labels, labels)).copy()
         for k in range(int(p.size.max())):
             step = _scaled((m @ t) * e[:, k, None, :], (1, 2))
             m = np.where(p.mask[:, k, None, None], step, m)
@@ -103,15 +103,15 @@ def forward_backward(scores: np.ndarray, trans: np.ndarray, p: Pieces):
             i = by_order[cuts[k]:cuts[k + 1]]
             b_out[i - 1] = _scaled(np.einsum("nij,nj->ni", m[i], b_out[i]), 1)
     width = int(p.size.max()) if p.n else 0
-    before = np.empty((p.n, PIECE, labels))
-    alpha = np.empty((p.n, PIECE, labels))
+    before = np.empty((p.n, PIECE, labels), np.float32)
+    alpha = np.empty((p.n, PIECE, labels), np.float32)
     a = a_in
     for k in range(width):
         before[:, k] = a
         step = _scaled((a @ t) * e[:, k], 1)
         a = np.where(p.mask[:, k, None], step, a)
         alpha[:, k] = a
-    beta = np.empty((p.n, PIECE, labels))
+    beta = np.empty((p.n, PIECE, labels), np.float32)
     b = b_out
     for k in range(width - 1, -1, -1):
         beta[:, k] = b
@@ -134,11 +134,10 @@ class Crf:
 
     def scores(self, words: cf.LetterWords) -> np.ndarray:
         f, w = _features(words)
-        return cf.summed(self.weight[f], w, len(words.size)).astype(np.float64)
+        return cf.summed(self.weight[f], w, len(words.size))
 
     def fit(self, texts: list[str], langs: list[str], epochs: int = EPOCHS) -> "Crf":
-        data, offsets = bw.buffers(pa.array(texts, pa.string()))
-        words = cf.LetterWords(data, offsets)
+        words = cf.merged(texts)
         if not len(words.doc) or len(self.labels) < 2:
             return self
         f, w = _features(words)
@@ -147,7 +146,7 @@ class Crf:
         whole = Pieces(words.doc)
         p = Pieces(whole.piece)
         n, n_labels = len(words.size), len(self.labels)
-        one = np.zeros((len(gold), n_labels))
+        one = np.zeros((len(gold), n_labels), np.float32)
         one[np.arange(len(gold)), gold] = 1
         head = np.zeros(len(gold), bool)
         head[np.searchsorted(p.piece, np.arange(p.n))] = True
@@ -163,7 +162,7 @@ class Crf:
             grad = np.stack([np.bincount(f, per_word[w, j], 1 << BITS) for j in range(n_labels)], 1)
             grad = (grad / total - PENALTY * self.weight).astype(np.float32)
             pair = before[:, :, None] * t[None] * (e * beta)[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-30)
             # The message into a chain is uniform, so its first move counts a share from every label.
             want = moves + opened[None, :] * pair[head].sum(axis=0) / np.maximum(pair[head].sum(axis=(0, 1)), 1e-12)
             move = (want - pair.sum(axis=0)) / total - 1e-3 * self.trans
