@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 from storecast.llm import bytewords as bw
 from storecast.llm import charfeat as cf
 
-FIT_DOCS = 6000
+FIT_DOCS = 4000
 FIT_CHARS = 50_000
 BITS = 19
-ORDERS = (3, 4, 5, 6)
+ORDERS = (3, 4, 5)
 SMOOTH = 1.0
 EPOCHS = 120
 RATE = 0.05
@@ -43,7 +43,7 @@ def _doc_words(words: cf.LetterWords) -> tuple[np.ndarray, np.ndarray]:
     """(document, distinct word) pairs, each once."""
     n = max(1, len(words.size))
     pair = np.unique(words.doc.astype(np.int64) * n + words.distinct)
-    return pair // n, pair % n
+    return (pair // n).astype(np.int32), (pair % n).astype(np.int32)
 
 
 class NbLinear:
@@ -58,8 +58,7 @@ class NbLinear:
         y = np.array(labels, np.float64)
         if not len(y):
             return self
-        data, offsets = bw.buffers(pa.array(texts, pa.string()))
-        words = cf.LetterWords(data, offsets)
+        words = cf.merged(texts)
         doc, word = _doc_words(words)
         f, w = cf.features(words, BITS, ORDERS)
         n_words, n_docs = len(words.size), len(y)
@@ -71,10 +70,10 @@ class NbLinear:
         beta, bias = np.zeros(size), float(np.log((y.sum() + 0.5) / (n_docs - y.sum() + 0.5)))
         m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
         for step in range(1, epochs + 1):
-            per_word = cf.summed((beta * ratio)[f], w, n_words)
+            per_word = cf.summed((beta * ratio).astype(np.float32)[f], w, n_words)
             margin = bias + np.bincount(doc, per_word[word], n_docs)
             err = y - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            grad = ratio * np.bincount(f, np.bincount(word, err[doc], n_words)[w], size) / n_docs - PENALTY * beta
+            grad = ratio * np.bincount(f, np.bincount(word, err[doc], n_words).astype(np.float32)[w], size) / n_docs - PENALTY * beta
             gb = err.mean()
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
