@@ -30,10 +30,10 @@ FIT_DOCS = 4000
 FIT_CHARS = 50_000
 BITS = 19
 ORDERS = (3, 4, 5)
-SMOOTH = 1.0
+SMOOTH = 0.2
 EPOCHS = 120
 RATE = 0.05
-PENALTY = 1e-4
+PENALTY = 1e-3
 THRESHOLD = 0.7
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
