@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.session import apply_conf, ensure_checkpoint_dir
+from storecast.session import apply_conf, ensure_checkpoint_dir, ship_package
 
 # White space and words of the text contracts: ASCII blanks only.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -19,8 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 # A side is broadcast only up to this many narrow rows (a few longs each).
 BROADCAST_ROWS = 500_000
 
-_SHIPPED: set[str] = set()
-
 
 def start(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on, the shared folder, and the package on
@@ -37,24 +32,6 @@ def start(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package (once per application), so jobs run
-    from any folder and on executors without an installed copy."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="storecast-code-"), "storecast.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark)}/storecast/{name}-{uuid.uuid4().hex}"
