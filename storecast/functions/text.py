@@ -44,9 +44,10 @@ def record_id(date: Column, store: Column, family: Column, row_key: Column) -> C
 
 
 def question_store(q: Column) -> Column:
-    """First ``store <digits>`` in the lower-cased question, as int, else null."""
-    s = F.regexp_extract(F.lower(q), STORE_PATTERN, 1)
-    return F.nullif(s, F.lit("")).try_cast("int")
+    """First ``store <digits>`` in the lower-cased question, as int, else null.
+    Digits beyond an int stay a filter that no store meets (-1)."""
+    s = F.nullif(F.regexp_extract(F.lower(q), STORE_PATTERN, 1), F.lit(""))
+    return F.when(s.isNotNull(), F.coalesce(s.try_cast("int"), F.lit(-1)))
 
 
 def question_date(q: Column) -> Column:

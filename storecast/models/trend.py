@@ -150,12 +150,13 @@ def future_frame(hist: DataFrame, days: int, oil: float = DEFAULT_OIL,
 
 
 def backtest(series: DataFrame, split_date: str) -> DataFrame:
-    """Fit before ``split_date``, score on/after it, MAE per series."""
+    """Fit before ``split_date``, score on/after it, MAE per series.  A
+    series without rows before the split has no model: its MAE is null."""
     s = series.withColumn("_val", F.col("ds") >= F.lit(split_date).cast("date"))
     coefs = fit(s.where(~F.col("_val")))
     val = s.where(F.col("_val"))
     pred = predict(val, coefs)
-    j = val.select("series", "ds", F.col("y").cast("double").alias("y")).join(pred, ["series", "ds"])
+    j = val.select("series", "ds", F.col("y").cast("double").alias("y")).join(pred, ["series", "ds"], "left")
     return j.groupBy("series").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae"),
                                    F.count(F.lit(1)).alias("n_val"))
 

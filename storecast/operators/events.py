@@ -42,8 +42,9 @@ def date_ok() -> Column:
 
 
 def sales_ok() -> Column:
-    """Missing sales default to 0; present sales must be a number."""
-    return F.col("sales").isNull() | F.col("sales").try_cast("double").isNotNull()
+    """Missing sales default to 0; present sales must be a number that the
+    typed column holds (NaN, infinities and out-of-range values are rejected)."""
+    return F.col("sales").isNull() | F.col("sales").try_cast(SALES_TYPE).isNotNull()
 
 
 def valid_events(w: DataFrame) -> DataFrame:

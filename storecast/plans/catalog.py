@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storecast.session import apply_conf, ensure_checkpoint_dir
+from storecast.session import apply_conf, ensure_checkpoint_dir, ship_package
 from storecast.sources.fixture_sql import with_views
 from storecast.sources.tables import Tables
 
@@ -27,6 +27,7 @@ def query(key: str, sql: str | None = None, extra: str = ""):
         def job(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_conf(spark)
             ensure_checkpoint_dir(spark)
+            ship_package(spark)
             return fn(Tables(spark, sf_dir))
         job.__name__ = f"q_{key}"
         job.__doc__ = fn.__doc__

@@ -16,6 +16,7 @@ from storecast.sources.tables import Tables
 
 P = trees.SMALL_PARAMS
 FORECAST_DAYS = 30
+TRAIN_PARTITIONS = 64      # raise with the training table; the model depends on it
 _CACHE: dict[tuple, object] = {}
 
 
@@ -34,12 +35,9 @@ def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
         codes = ft.fit_feature_codes(t, keys, stores)
         j = ft.joined(t, facts, keys=keys, stores=stores)
         table = ft.with_split(encode.apply_codes(j, codes))
-        # The trees make many passes over this table: give every core a
-        # partition.  A cluster scan already has far more splits than cores, so
-        # this only spreads out inputs that arrive in very few files.
-        cores = t.spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            table = table.repartition(cores)
+        # The learner samples splits per partition, so the partitioning is fixed
+        # by the rows' keys and never by the machine.
+        table = table.repartition(TRAIN_PARTITIONS, *[F.col(c) for c in ft.ROW_KEYS if c in table.columns])
         table = table.checkpoint(eager=True)
         _CACHE[k] = (table, codes)
     return _CACHE[k]
@@ -111,7 +109,7 @@ def score_requests(t):
     """M3: predicted sales of every (store, family, date, promo) request."""
     model, _, _ = fitted(t)
     out = trees.score(model, request_features(t))
-    return out.select("store_nbr", "family", "date", "promo", "prediction")
+    return out.select("store_nbr", "family", "date", "promo", "prediction", "reason")
 
 
 @query("scenario_run")
@@ -131,19 +129,19 @@ def scenario_run(t):
 
 def series_frame(t: Tables) -> DataFrame:
     """Daily series per family plus the company total ``ALL`` (one pass over
-    the joined facts; the total is summed from the family rows)."""
+    the joined facts; the total is summed from the per-family rows, sales
+    without a family included)."""
     j = ft.joined(t, transactions=False)
     fam = j.groupBy(F.col("family").alias("series"), F.col("date").alias("ds")).agg(
         F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("y"),
         F.avg("dcoilwtico").cast("double").alias("dcoilwtico"),
         F.max("is_holiday").alias("is_holiday"))
-    fam = fam.where(F.col("series").isNotNull())
     total = fam.groupBy("ds").agg(F.sum("y").alias("y"), F.avg("dcoilwtico").alias("dcoilwtico"),
                                   F.max("is_holiday").alias("is_holiday"))
     # One row per (series, day): bounded by the calendar.  The fits, the
     # backtest and the future frame all read it, so it is cut from its lineage
     # once instead of recomputing the fact joins for each reader.
-    return fam.unionByName(total.withColumn("series", F.lit("ALL"))).checkpoint(eager=True)
+    return fam.where(F.col("series").isNotNull()).unionByName(total.withColumn("series", F.lit("ALL"))).checkpoint(eager=True)
 
 
 @query("trend_fit")

@@ -55,7 +55,7 @@ def vector_metadata(t):
        extra=REC_CTES)
 def latest_n(t):
     """L1: the newest 500,000 sales (date, then row key, descending)."""
-    return rc.initial_selection(t).select("order_id", "line_no", "part_id", "store_nbr", "date")
+    return rc.newest(t).select("order_id", "line_no", "part_id", "store_nbr", "date")
 
 
 @query("renumber", """
@@ -63,12 +63,12 @@ select order_id, line_no, part_id, cast((select count(*) from kept) - rn as bigi
        extra=REC_CTES)
 def renumber(t):
     """L2: the selected rows renumbered from 0 in ascending order."""
-    return rc.initial_selection(t).select("order_id", "line_no", "part_id", "idx")
+    return rc.newest(t).select("order_id", "line_no", "part_id", "idx")
 
 
-@query("initial_load", f"select {REC_COLS} from kept", extra=REC_CTES)
+@query("initial_load", f"select {REC_COLS} from recs", extra=REC_CTES)
 def initial_load(t):
-    """Records of the newest 500,000 sales (up to the vector)."""
+    """Records of all sales (up to the vector)."""
     return rc.initial_load(t)
 
 
@@ -87,7 +87,7 @@ def daily_load(t):
 
 
 @query("load_summary", """
-select count(*) n_rows, min(real_date) min_date, max(real_date) max_date from kept""",
+select count(*) n_rows, min(real_date) min_date, max(real_date) max_date from recs""",
        extra=REC_CTES)
 def load_summary(t):
     """A4: size and date range of the initial load."""

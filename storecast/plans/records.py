@@ -14,7 +14,7 @@ from storecast.sources.tables import Tables
 
 # Row key of a sale (unique in the fact) and tie-break order after the date.
 TIE_COLS = ("order_id", "line_no", "part_id", "store_nbr")
-MAX_RECORDS = 500_000          # newest records loaded at first (source default)
+NEWEST_RECORDS = 500_000       # N of the newest-N selection (source default)
 DAILY_DAYS = 1                 # days loaded by the daily update (source default)
 INDEX_CAPACITY = 1_000_000     # our configured index capacity, for fullness
 
@@ -53,12 +53,18 @@ def to_records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def initial_selection(t: Tables, max_records: int = MAX_RECORDS) -> DataFrame:
-    """L1/L2: the newest ``max_records`` sales with stores, numbered ascending."""
-    return latest_n(sales_with_stores(t), max_records, "date", TIE_COLS)
+def newest(t: Tables, n: int = NEWEST_RECORDS) -> DataFrame:
+    """L1/L2: the newest ``n`` sales with stores, numbered ascending."""
+    return latest_n(sales_with_stores(t), n, "date", TIE_COLS)
 
 
-def initial_load(t: Tables, max_records: int = MAX_RECORDS) -> DataFrame:
+def initial_selection(t: Tables, max_records: int | None = None) -> DataFrame:
+    """The sales of the initial load: all of them, or the newest
+    ``max_records`` where a caller asks for that."""
+    return sales_with_stores(t) if max_records is None else newest(t, max_records)
+
+
+def initial_load(t: Tables, max_records: int | None = None) -> DataFrame:
     return to_records(initial_selection(t, max_records))
 
 
@@ -66,16 +72,17 @@ def daily_load(t: Tables, days: int = DAILY_DAYS) -> DataFrame:
     return to_records(latest_days(sales_with_stores(t), days))
 
 
-def upsert(index: DataFrame, batch: DataFrame, order_col: str | None = None) -> DataFrame:
+def upsert(index: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Rows of ``batch`` replace index rows with the same id; within the
-    batch the last row (by ``order_col``) wins.
+    batch the last row by ``order_col`` wins (rows equal in it: by a hash of
+    the whole row, so the winner never depends on partitions).
 
     Only the batch is grouped by id.  The index (large, ids unique) loses the
     replaced ids through a left anti join with the batch ids; those are
     broadcast when they pass the size check, so the index is not shuffled.
     """
     cols = index.columns
-    seq = F.col(order_col).cast("bigint") if order_col else F.lit(0).cast("bigint")
+    seq = F.struct(F.col(order_col).cast("bigint"), F.xxhash64(*cols))
     latest = (batch.select(*cols, seq.alias("_seq")).groupBy("id")
                    .agg(F.max_by(F.struct(*cols), F.col("_seq")).alias("_r"))
                    .select("_r.*"))

@@ -3,7 +3,7 @@ and prompt text, all as batch jobs over a question table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storecast.functions.text import filters_text, question_date, question_store
@@ -111,6 +111,20 @@ def fallback_message(questions: DataFrame, sugg: DataFrame) -> DataFrame:
     return j.select("qid", msg.alias("message"))
 
 
+# The answer when nothing at all was found.
+NO_RECORDS_HEAD = "I couldn't find any relevant records for your question"
+NO_RECORDS_FILTERS = " with filters: "
+NO_RECORDS_TAIL = ". Try rephrasing or asking about a different topic."
+
+
+def no_records_text(store: Column, date: Column) -> Column:
+    """The last answer, with the filters if there are any."""
+    any_filter = store.isNotNull() | date.isNotNull()
+    return F.concat(F.lit(NO_RECORDS_HEAD),
+                    F.when(any_filter, F.concat(F.lit(NO_RECORDS_FILTERS), filters_text(store, date)))
+                    .otherwise(F.lit("")), F.lit(NO_RECORDS_TAIL))
+
+
 def answer_table(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Per question: the prompt when records were found, else the fallback message."""
     # The context and the fallback both read the matches (at most k rows per
@@ -122,4 +136,7 @@ def answer_table(questions: DataFrame, index: DataFrame) -> DataFrame:
     fb = fallback(questions, index, found)
     msgs = fallback_message(questions, suggestions(fb)).select(
         "qid", F.lit(None).cast("string").alias("prompt"), "message")
-    return prompts.unionByName(msgs)
+    rest = (with_filters(questions).join(prompts.select("qid").unionByName(msgs.select("qid")), "qid", "left_anti")
+            .select("qid", F.lit(None).cast("string").alias("prompt"),
+                    no_records_text(F.col("f_store"), F.col("f_date")).alias("message")))
+    return prompts.unionByName(msgs).unionByName(rest)

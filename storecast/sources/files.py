@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Column types of the sales inputs (explicit schemas; no inference at scale).
 SALES_SCHEMA = "date date, store_nbr int, family string, sales double, onpromotion int"
@@ -22,11 +23,37 @@ RUN_LOG_SCHEMA = "run_id string, parent_id string, kind string, name string, val
 
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8",
              date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Header CSV with a declared schema; ``encoding='ISO-8859-1'`` for
-    Latin-1 files.  Malformed fields become null (PERMISSIVE)."""
-    return (spark.read.option("header", True).option("encoding", encoding)
-            .option("dateFormat", date_format).option("mode", "PERMISSIVE")
-            .schema(schema).csv(path))
+    """The columns of ``schema`` by their header names, in that order,
+    whatever the file's own order; other columns are left out and a missing one
+    is an error.  ``encoding='ISO-8859-1'`` for Latin-1 files.  A malformed cell
+    is null here; ``csv_rejects`` lists the rows that have one."""
+    raw = _csv_strings(spark, path, encoding)
+    return raw.select(*[_typed(f, date_format).alias(f.name) for f in _fields(schema)])
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8",
+                date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Rows with a cell that does not fit its column's type, as read (strings),
+    and ``bad_columns``, the names of those columns."""
+    raw = _csv_strings(spark, path, encoding)
+    bad = F.filter(F.array(*[F.when(F.col(f.name).isNotNull() & _typed(f, date_format).isNull(), F.lit(f.name))
+                             for f in _fields(schema)]), lambda c: c.isNotNull())
+    return raw.withColumn("bad_columns", bad).where(F.size("bad_columns") > 0)
+
+
+def _csv_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    return spark.read.option("header", True).option("encoding", encoding).csv(path)
+
+
+def _fields(schema: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(schema).fields
+
+
+def _typed(field: T.StructField, date_format: str) -> Column:
+    cell = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.DateType):
+        return F.try_to_timestamp(cell, F.lit(date_format)).cast("date")
+    return cell.try_cast(field.dataType)
 
 
 def save_codes(codes: DataFrame, path: str) -> None:

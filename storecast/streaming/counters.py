@@ -127,19 +127,15 @@ def read_buffer(spark: SparkSession, root: str) -> DataFrame:
 
 
 def drain_buffer(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
-    """Buffered rows above the last consumed high mark, and the folder
-    to record the new mark in (call ``commit_mark`` after the consumer
-    succeeded; nothing is deleted)."""
+    """Buffered rows not consumed yet, and the folder to record them in
+    (call ``commit_mark`` after the consumer succeeded; nothing is deleted).
+    Ids do not arrive in order, so the consumed ids are recorded, not a mark."""
     marks = os.path.join(root, "buffer_marks")
-    buf = read_buffer(spark, root)
-    try:
-        last = spark.read.parquet(marks).agg(F.max("mark")).scalar()
-        fresh = buf.where(F.col("msg_id") > F.coalesce(last, F.lit(-1).cast("long")))
-    except Exception:  # no mark yet: everything is fresh
-        fresh = buf
-    return fresh, marks
+    # An empty append makes the folder exist, so any read error is a real one.
+    spark.createDataFrame([], "msg_id long").write.mode("append").parquet(marks)
+    done = spark.read.schema("msg_id long").parquet(marks)
+    return read_buffer(spark, root).join(done, "msg_id", "left_anti"), marks
 
 
 def commit_mark(fresh: DataFrame, marks_dir: str) -> None:
-    fresh.agg(F.max("msg_id").alias("mark")).where(F.col("mark").isNotNull()) \
-         .write.mode("append").parquet(marks_dir)
+    fresh.select("msg_id").write.mode("append").parquet(marks_dir)

@@ -136,6 +136,6 @@ def test_csv_codes_runlog_and_index_tables(spark, tmp_dir):
                                 "id string, values array<double>, v int")
     up = {r.id: r.v for r in rc.upsert(idx, new, order_col="v").collect()}
     assert up == {"a": 3, "b": 1, "c": 2}
-    st = rc.index_stats(rc.upsert(idx, new)).collect()[0]
+    st = rc.index_stats(rc.upsert(idx, new, order_col="v")).collect()[0]
     assert st.total_vectors == 3 and st.dimension == 2
     assert rc.empty_like(idx).count() == 0 and rc.empty_like(idx).schema == idx.schema
