@@ -206,7 +206,7 @@ def fit_sample(docs: DataFrame, label: Column, may_learn: Column, rows: int, cha
            .select(F.col("doc_id").alias("_id")).distinct()
            .orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(rows))
     picked = (docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))       # at most ``rows`` ids
-              .where(F.col("text").isNotNull() & (F.length("text") <= chars))
+              .where(F.col("text").isNotNull() & label.isNotNull() & (F.length("text") <= chars))
               .select("doc_id", "text", label.alias("_label")))
     table = picked.orderBy("doc_id", "_label", "text").limit(rows).toArrow()
     return list(zip(table.column("text").to_pylist(), table.column("_label").to_pylist()))

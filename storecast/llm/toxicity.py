@@ -91,6 +91,8 @@ class NbLinear:
         if self.book is None:
             self.book = cf.ScoreBook(self.word_scores, 1)
         n = len(offsets) - 1
+        if not np.isfinite(self.bias):      # never fitted
+            return np.zeros(n)
         words = cf.LetterWords(data, offsets)
         per_word = self.book.of(words)[:, 0].astype(np.float64)
         doc, word = _doc_words(words)
