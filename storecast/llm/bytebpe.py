@@ -293,7 +293,8 @@ def _encoder(ranks: dict[bytes, int], tag: int):
         book = _CODERS.get(tag)
         if book is None:
             _CODERS.clear()
-            book = _CODERS[tag] = pt.CodeBook(RankedMerges(ranks).encode)
+            merges = RankedMerges(ranks)
+            book = _CODERS[tag] = pt.CodeBook(lambda words: pt.joined(merges.encode(words), np.int32))
         every = bw.table(b"")
         for batch in batches:
             data, offsets = bw.buffers(batch.column("text"))

@@ -45,6 +45,7 @@ from storecast.llm import pretoken as pt
 from storecast.llm.common import saved, scratch
 
 END_ID = 2
+BLOCK_BYTES = 1 << 20      # text encoded at once: fewer look-ups of the same words
 SEGMENT_IDS = 1 << 19      # ids aimed at in one segment (a document is never cut)
 
 IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -89,31 +90,44 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # -- encoding -----------------------------------------------------------------
 
+WORDS_A_CALL = 2_000
+
+
 class WordIds:
     """Ids of words by the tokenizers library."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
-
-    def one_by_one(self, words: list[bytes]) -> list[np.ndarray]:
-        made = self.tok.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in made]
-
-    def together(self, words: list[bytes]) -> list[np.ndarray]:
-        """One call for words that the pre-tokenizer leaves whole."""
-        out = []
-        for lo in range(0, len(words), 20_000):
-            part = words[lo:lo + 20_000]
-            e = self.tok.encode(" ".join(w.decode() for w in part), add_special_tokens=False)
-            who = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            if not len(who) or who[-1] != len(part) - 1 or (np.diff(who) < 0).any() or (np.diff(who) > 1).any() \
-                    or who[0] != 0:
-                out += self.one_by_one(part)
-                continue
-            cuts = np.searchsorted(who, np.arange(1, len(part)))
-            out += np.split(np.array(e.ids, np.uint32), cuts)
-        return out
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends_word = None           # marks ids that end a word, where the model has such
+        if suffix:
+            vocab = self.tok.get_vocab(with_added_tokens=False)
+            self.ends_word = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+            self.ends_word[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return pt.joined([np.array(e.ids, np.uint32) for e in made], np.uint32)
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A few calls for words that the pre-tokenizer leaves whole: the ids are
+        cut where a word ends.  If those are not as many as the words, the words
+        are encoded one by one."""
+        if self.ends_word is None:
+            return self.one_by_one(words)
+        flat, sizes = [], []
+        for lo in range(0, len(words), WORDS_A_CALL):
+            part = words[lo:lo + WORDS_A_CALL]
+            made = self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(made.ids, np.uint32)
+            end = np.flatnonzero(self.ends_word[ids]) + 1
+            size = np.diff(end, prepend=0)
+            if len(end) != len(part) or end[-1] != len(ids):
+                ids, size = self.one_by_one(part)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
 
 
 _BOOKS: dict[int, tuple] = {}
@@ -156,7 +170,7 @@ def _encoder(tokenizer_json: str, tag: int, wide: bool, end_id: int):
         for batch in batches:
             data, offsets = bw.buffers(batch.column("text"))
             rows = []
-            for _, _, d, o in bw.blocks(data, offsets):
+            for _, _, d, o in bw.blocks(data, offsets, BLOCK_BYTES):
                 ids, size = encode_block(d, o, _BOOKS[tag])
                 ends = np.cumsum(size)
                 ids = np.insert(ids, ends, end_id).astype(kind)

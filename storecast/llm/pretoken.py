@@ -138,11 +138,20 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.arange(total, dtype=np.int64) + np.repeat(start - first, length)]
 
 
+def joined(parts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all codes end to end, codes per word) of a list with one array a word."""
+    if not parts:
+        return np.empty(0, dtype), np.empty(0, np.int64)
+    return np.concatenate(parts).astype(dtype), np.array([len(m) for m in parts], np.int64)
+
+
 class CodeBook:
-    """Codes of distinct words, by hash.  Holds at most ``limit`` words; when it
+    """Codes of distinct words, by hash; ``encode`` gives the codes of a list of
+    words end to end and the number of codes of each.  Holds at most ``limit`` words; when it
     is full it starts anew, which costs time, never a result."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype=np.int32, limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype=np.int32,
+                 limit: int = 600_000):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self.clear()
 
@@ -166,9 +175,7 @@ class CodeBook:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            made = self.encode([raw[s:e] for s, e in zip(start[where[new]].tolist(), end[where[new]].tolist())])
-            size = np.array([len(m) for m in made], np.int64)
-            flat = np.concatenate(made).astype(self.dtype) if made else np.empty(0, self.dtype)
+            flat, size = self.encode([raw[s:e] for s, e in zip(start[where[new]].tolist(), end[where[new]].tolist())])
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             self.flat[self.used:self.used + len(flat)] = flat
