@@ -20,13 +20,13 @@ _BASE = 0x9E3779B97F4A7C15
 _SPAN = 1 << 16
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
     out = np.empty(n, U64)
     out[0] = 1
     filled = 1
     with np.errstate(over="ignore"):
         while filled < n:
-            step = U64(pow(_BASE, filled, 1 << 64))
+            step = U64(pow(base, filled, 1 << 64))
             take = min(filled, n - filled)
             out[filled:filled + take] = out[:take] * step
             filled += take

@@ -184,11 +184,11 @@ def _counter(kind):
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column("ids"):
-                c = np.bincount(np.frombuffer(row.as_py(), kind))
-                if len(c) > len(total):
-                    total, c = c, total
-                total[:len(c)] += c
+            data, _ = bw.buffers(batch.column("ids"))
+            c = np.bincount(np.frombuffer(data.tobytes(), kind))
+            if len(c) > len(total):
+                total, c = c, total
+            total[:len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
     return run

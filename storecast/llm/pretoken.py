@@ -25,13 +25,11 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 @functools.cache
 def class_table() -> np.ndarray:
     """Class of every code point."""
+    names = "".join(map(unicodedata.category, map(chr, range(0x110000))))      # two characters each
+    major = np.frombuffer(names.encode(), np.uint8)[::2]
     t = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        c = unicodedata.category(chr(cp))[0]
-        if c == "L":
-            t[cp] = LETTER
-        elif c == "N":
-            t[cp] = NUMBER
+    t[major == ord("L")] = LETTER
+    t[major == ord("N")] = NUMBER
     t[WHITE_SPACE] = SPACE
     return t
 
@@ -115,11 +113,28 @@ def split_bare(cp: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], ends[keep]
 
 
+SUMMED_BYTES = 1 << 20      # longest block hashed by running sums (two tables of this many powers)
+
+
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse modulo 2^64."""
+    return bw._powers(SUMMED_BYTES), bw._powers(SUMMED_BYTES, pow(bw._BASE, -1, 1 << 64))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lookup: np.ndarray) -> np.ndarray:
     """Hashes of byte spans (in order, not overlapping)."""
     lens = end - start
     if not len(lens):
         return np.empty(0, np.uint64)
+    if len(data) <= SUMMED_BYTES:
+        # A span's polynomial is a difference of running sums, shifted back to
+        # position 0 by the inverse power of its start.
+        up, down = _power_tables()
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(lookup[data] * up[:len(data)], out=total[1:])
+        h = (total[end] - total[start]) * down[start]
+        return bw.mix(h ^ lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = np.cumsum(lens) - lens
     within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
     value = lookup[data]
