@@ -159,19 +159,26 @@ def encode_block(d: np.ndarray, o: np.ndarray, books: tuple) -> tuple[np.ndarray
     return pt.ragged(book.flat, pos, size), np.diff(total[np.searchsorted(start, o)])
 
 
+def code_books(tokenizer_json: str, tag: int) -> tuple:
+    """The worker process's code books for this tokenizer, kept between tasks (a
+    module's function is sent by name, so it sees the module's own table)."""
+    if tag not in _BOOKS:
+        _BOOKS.clear()
+        words = WordIds(tokenizer_json)
+        _BOOKS[tag] = (pt.CodeBook(words.together, np.uint32), pt.CodeBook(words.one_by_one, np.uint32))
+    return _BOOKS[tag]
+
+
 def _encoder(tokenizer_json: str, tag: int, wide: bool, end_id: int):
     kind = np.uint32 if wide else np.uint16
 
     def run(batches):
-        if tag not in _BOOKS:
-            _BOOKS.clear()
-            words = WordIds(tokenizer_json)
-            _BOOKS[tag] = (pt.CodeBook(words.together, np.uint32), pt.CodeBook(words.one_by_one, np.uint32))
+        books = code_books(tokenizer_json, tag)
         for batch in batches:
             data, offsets = bw.buffers(batch.column("text"))
             rows = []
             for _, _, d, o in bw.blocks(data, offsets, BLOCK_BYTES):
-                ids, size = encode_block(d, o, _BOOKS[tag])
+                ids, size = encode_block(d, o, books)
                 ends = np.cumsum(size)
                 ids = np.insert(ids, ends, end_id).astype(kind)
                 cut = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
