@@ -42,10 +42,10 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                        max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``side`` if it has at most ``max_rows`` rows and its estimated
     size is at most ``max_bytes``; else return it unchanged (shuffle join, with
-    AQE free to re-plan).  The check reads at most ``limit + 1`` rows."""
+    AQE free to re-plan).  The check is a distributed count, so pass a scan or
+    a checkpointed side."""
     limit = min(max_rows, max(0, max_bytes // row_bytes(side.schema)))
-    n = side.limit(limit + 1).count()
-    return F.broadcast(side) if n <= limit else side
+    return F.broadcast(side) if side.count() <= limit else side
 
 
 def join_oil(fact: DataFrame, oil_by_day: DataFrame) -> DataFrame:
@@ -69,12 +69,12 @@ def effective_holidays(holidays: DataFrame) -> DataFrame:
 def join_holidays(fact: DataFrame, holidays: DataFrame, dedupe: bool = False) -> DataFrame:
     """Fact left join effective holidays on ``date``.  A date with k
     holidays yields k copies of each sale (source behaviour) unless
-    ``dedupe``; no match gives ``is_holiday = 0``.  Holidays are days, so the
-    side is bounded by the calendar."""
+    ``dedupe``; no match gives ``is_holiday = 0``.  A day may hold any number
+    of holidays, so the side is broadcast only after a size check."""
     h = effective_holidays(holidays)
     if dedupe:
         h = h.distinct()
-    j = fact.join(F.broadcast(h), "date", "left")
+    j = fact.join(broadcast_if_small(h), "date", "left")
     return j.withColumn("is_holiday", F.coalesce(F.col("is_holiday"), F.lit(0)))
 
 

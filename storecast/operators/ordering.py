@@ -32,31 +32,48 @@ def global_index(df: DataFrame, order: Sequence[Column], index_col: str = "idx")
               .drop("_pid", "_mid", "_m0", "_off")
 
 
-def newest_cutoff(df: DataFrame, n: int, date_col: str) -> Column:
-    """Scalar: the oldest date that can hold one of the newest ``n`` rows.
-    Counts per date are one row per day, so the running sum is small."""
-    per_day = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(F.col(date_col).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per_day.select(date_col, "_c", F.sum("_c").over(w).alias("_cum"))
-    return cum.where(F.col("_cum") - F.col("_c") < n).agg(F.min(date_col)).scalar()
+def _keep_newest(df: DataFrame, n: int, group: Column, order: Sequence[Column]) -> DataFrame:
+    """The ``n`` rows with the largest ``group``, ties inside a group taken in
+    ``order``.  Counts per group (few rows) tell which group the cut falls in:
+    rows above it are kept unsorted, and only that group's rows are ranked.
+    Rows whose group is null are never among the newest."""
+    grouped = df.withColumn("_g", group).where(F.col("_g").isNotNull())
+    counts = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+    above = Window.orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = (counts.select("_g", "_c", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_above"))
+                 .where(F.col("_above") < n).orderBy("_g").limit(1).collect())
+    if not cut:
+        return df.where(F.lit(False))
+    edge, size, left = cut[0]["_g"], cut[0]["_c"], n - cut[0]["_above"]
+    if size <= left:
+        return grouped.where(F.col("_g") >= F.lit(edge)).drop("_g")
+    ranked = global_index(grouped.where(F.col("_g") == F.lit(edge)), order, "_pos").where(F.col("_pos") < left)
+    return grouped.where(F.col("_g") > F.lit(edge)).drop("_g").unionByName(ranked.drop("_g", "_pos"))
+
+
+def newest_rows(df: DataFrame, n: int, date_col: str, tie_cols: Sequence[str]) -> DataFrame:
+    """L1: the ``n`` newest rows by (date, ties) descending, in no order."""
+    return _keep_newest(df, n, F.col(date_col), [F.col(c).desc() for c in tie_cols])
+
+
+def renumber(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """L2: rows numbered from 0 (``idx``) in ascending ``order``."""
+    return global_index(df, [F.col(c).asc() for c in order], "idx")
 
 
 def latest_n(df: DataFrame, n: int, date_col: str, tie_cols: Sequence[str]) -> DataFrame:
-    """L1 + L2: the ``n`` newest rows by (date, ties) descending, numbered
-    0.. in ascending order (``idx``).  Rows older than the cutoff date are
-    filtered before any sort, so only about ``n`` rows are ordered."""
-    cutoff = newest_cutoff(df, n, date_col)
-    sel = df.where(F.col(date_col) >= cutoff)
-    order = [F.col(date_col).desc()] + [F.col(c).desc() for c in tie_cols]
-    ranked = global_index(sel, order, "_desc").where(F.col("_desc") < n)
-    kept = ranked.agg(F.count(F.lit(1))).scalar()
-    return ranked.withColumn("idx", (kept - 1 - F.col("_desc")).cast("bigint")).drop("_desc")
-
-
-def newest_by_key(df: DataFrame, keep: int, key_col: str) -> DataFrame:
-    """L3: the ``keep`` rows with the largest ``key_col`` (unique key)."""
-    ranked = global_index(df, [F.col(key_col).desc()], "_pos")
-    return ranked.where(F.col("_pos") < keep).drop("_pos")
+    """L1 + L2: the ``n`` newest rows, numbered 0.. in ascending order (``idx``)."""
+    return renumber(newest_rows(df, n, date_col, tie_cols), [date_col, *tie_cols])
+
+
+def newest_by_key(df: DataFrame, keep: int, key_col: str, ranges: int = 4096) -> DataFrame:
+    """L3: the ``keep`` rows with the largest ``key_col`` (unique integer key).
+    The key's span is cut into ``ranges`` equal ranges for the counts."""
+    lo, hi = df.agg(F.min(key_col), F.max(key_col)).first()
+    if lo is None:
+        return df
+    width = (hi - lo) // ranges + 1
+    return _keep_newest(df, keep, F.floor((F.col(key_col) - F.lit(lo)) / F.lit(width)), [F.col(key_col).desc()])
 
 
 def tail_rows(series: DataFrame, n: int, order_col: str) -> DataFrame:

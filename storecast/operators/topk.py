@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storecast.operators.joins import broadcast_if_small
+
 BLOCK_ROWS = 4096       # corpus rows per cell
 QBLOCK_ROWS = 8192      # query rows per cell (corpus rows are copied once per query block)
 SCORE_CHUNK = 1024      # queries scored at once inside a cell (bounds the score matrix)
@@ -56,7 +58,7 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str],
             return empty[cols]
         qv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in q["qvec"]]))
         cv = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in c["values"]]))
-        ids = c["id"].to_numpy()
+        id_rank = np.unique(c["id"].to_numpy().astype(str), return_inverse=True)[1]
         cvals = {ccol: c[ccol].to_numpy() for _, ccol in match}
         kk = min(k, cv.shape[0])
         q_rows, c_rows, out_s = [], [], []
@@ -70,19 +72,18 @@ def _top_in_cell(k: int, match: Sequence[tuple[str, str]], carry: Sequence[str],
                 if has.any():
                     ok = (qval[:, None] == cvals[ccol][None, :]) | ~has[:, None]
                     scores = np.where(ok, scores, -np.inf)
-            for r in range(scores.shape[0]):
-                row = scores[r]
-                if kk < row.shape[0]:
-                    thr = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
-                    cand = np.nonzero((row >= thr) & np.isfinite(row))[0]
-                else:
-                    cand = np.nonzero(np.isfinite(row))[0]
-                if cand.size == 0:
-                    continue
-                sel = cand[np.lexsort((ids[cand], -row[cand]))[:kk]]
-                q_rows.extend([lo + r] * len(sel))
-                c_rows.extend(sel.tolist())
-                out_s.extend(row[sel].tolist())
+            # Everything at or above a query's k-th score, ties included; then
+            # order by (query, score desc, id) and keep the first k of each.
+            kth = np.partition(scores, scores.shape[1] - kk, axis=1)[:, scores.shape[1] - kk]
+            r, at = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+            s = scores[r, at]
+            order = np.lexsort((id_rank[at], -s, r))
+            r, at, s = r[order], at[order], s[order]
+            sel = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            q_rows.append(lo + r[sel])
+            c_rows.append(at[sel])
+            out_s.append(s[sel])
+        q_rows, c_rows, out_s = (np.concatenate(x) for x in (q_rows, c_rows, out_s))
         # slice the typed inputs so empty results keep their column types
         res = q[["qid"]].iloc[q_rows].reset_index(drop=True)
         picked = c[["id", *carry]].iloc[c_rows].reset_index(drop=True)
@@ -131,9 +132,12 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int,
     key = ["rkind", "rval"]
     ccount = rc.groupBy(*key).agg(F.count(F.lit(1)).alias("_cn"))
     qcount = rq.groupBy(*key).agg(F.count(F.lit(1)).alias("_qn"))
-    info = ccount.join(qcount, key).select(
+    # One row per filter value that some query asks for.  Cut from its lineage
+    # once and broadcast after a size check, so the corpus and the queries go
+    # straight to the cell exchange and routes no query uses are never shuffled.
+    info = broadcast_if_small(ccount.join(qcount, key).select(
         *key, F.ceil(F.col("_cn") / block_rows).cast("int").alias("_cb_n"),
-        F.ceil(F.col("_qn") / qblock_rows).cast("int").alias("_qb_n"))
+        F.ceil(F.col("_qn") / qblock_rows).cast("int").alias("_qb_n")).checkpoint(eager=True))
 
     c = (rc.join(info, key)
            .withColumn("_cb", F.pmod(F.xxhash64("id"), F.col("_cb_n")).cast("int"))

@@ -10,7 +10,7 @@ from storecast.plans.catalog import query
 from storecast.sources import fixtures as fx
 
 
-@query("counter_rollup", """
+COUNTER_SQL = """
 select grain, family, period, cast(sum(s) as decimal(38,2)) value,
        'feature:sales_' || grain || ':' || family || ':' || period key
 from (select 'daily' grain, family, strftime(pdate, '%Y-%m-%d') period,
@@ -19,7 +19,10 @@ from (select 'daily' grain, family, strftime(pdate, '%Y-%m-%d') period,
       select 'weekly', family, strftime(pdate, '%Y-W%U'), coalesce(cast(sales as decimal(18,2)), 0) from r_valid
       union all
       select 'monthly', family, strftime(pdate, '%Y-%m'), coalesce(cast(sales as decimal(18,2)), 0) from r_valid)
-group by grain, family, period""")
+group by grain, family, period"""
+
+
+@query("counter_rollup", COUNTER_SQL)
 def counter_rollup(t):
     """Batch twin of the live counters: sum of sales per grain/family/period."""
     return ev.counter_rollup(ev.valid_events(fx.r_stream_wire(t)))

@@ -10,6 +10,7 @@ from storecast.operators import encode, joins
 from storecast.operators import scenario as sc
 from storecast.plans import features as ft
 from storecast.plans.catalog import query
+from storecast.plans.q_features import FACT_CTES
 from storecast.plans.q_report import grid
 from storecast.sources import fixtures as fx
 from storecast.sources.tables import Tables
@@ -152,6 +153,27 @@ def trend_fit(t):
                                F.size("beta").alias("n_coef"))
 
 
+SERIES_DAYS = FACT_CTES + """,
+days as (select distinct family series, date ds from joined where family is not null
+         union select distinct 'ALL', date from joined)"""
+
+
+@query("trend_fit_spans", """
+select series, min(ds) t0, cast(greatest(date_diff('day', min(ds), max(ds)), 1) as double) t_days, count(*) n_obs
+from days where ds < date '2001-01-01' group by series""", extra=SERIES_DAYS)
+def trend_fit_spans(t):
+    """M5: first day, span and days of every fitted series."""
+    s = series_frame(t).where(F.col("ds") < F.lit(ft.SPLIT_DATE).cast("date"))
+    return trend.fit(s).select("series", "t0", "t_days", F.col("n_obs").cast("bigint").alias("n_obs"))
+
+
+@query("trend_backtest_rows", """
+select series, count(*) n_val from days where ds >= date '2001-01-01' group by series""", extra=SERIES_DAYS)
+def trend_backtest_rows(t):
+    """Days scored per series by the backtest."""
+    return trend.backtest(series_frame(t), ft.SPLIT_DATE).select("series", "n_val")
+
+
 @query("trend_backtest")
 def trend_backtest(t):
     """Hold-out MAE per series (fit before the split date, score after)."""

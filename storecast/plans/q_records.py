@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.operators import ordering
 from storecast.operators.ordering import newest_by_key, tail_rows
+from storecast.operators.sample import draw_with_replacement
 from storecast.plans import features as ft
 from storecast.plans import records as rc
 from storecast.plans.catalog import query
@@ -63,7 +65,20 @@ select order_id, line_no, part_id, cast((select count(*) from kept) - rn as bigi
        extra=REC_CTES)
 def renumber(t):
     """L2: the selected rows renumbered from 0 in ascending order."""
-    return rc.newest(t).select("order_id", "line_no", "part_id", "idx")
+    return renumbered(t, rc.NEWEST_RECORDS)
+
+
+def renumbered(t, n: int):
+    rows = fx.r_sales(t).select("date", *rc.TIE_COLS)
+    return ordering.latest_n(rows, n, "date", rc.TIE_COLS).select("order_id", "line_no", "part_id", "idx")
+
+
+@query("renumber_20k", """
+select order_id, line_no, part_id, cast(least(20000, (select count(*) from recs)) - rn as bigint) idx
+from ranked where rn <= 20000""", extra=REC_CTES)
+def renumber_20k(t):
+    """L1/L2 with N below the row count: the newest 20,000 sales, renumbered."""
+    return renumbered(t, 20_000)
 
 
 @query("initial_load", f"select {REC_COLS} from recs", extra=REC_CTES)
@@ -101,12 +116,24 @@ select msg_id, payload->>'family' family, try_cast(payload->>'sales' as decimal(
 from r_buffer order by msg_id desc limit 100001""")
 def buffer_trim(t):
     """L3: keep the newest 100,001 buffered events (inclusive trim)."""
-    kept = newest_by_key(fx.r_buffer(t), 100_001, "msg_id")
+    return trimmed(t, 100_001)
+
+
+def trimmed(t, keep: int):
+    kept = newest_by_key(fx.r_buffer(t), keep, "msg_id")
     d = F.from_json("payload", "family string, sales string")
     return kept.select("msg_id", d["family"].alias("family"),
                        d["sales"].try_cast("decimal(18,2)").alias("sales"))
 
 
+@query("buffer_trim_2k", """
+select msg_id, payload->>'family' family, try_cast(payload->>'sales' as decimal(18,2)) sales
+from r_buffer order by msg_id desc limit 2001""")
+def buffer_trim_2k(t):
+    """L3 with ``keep`` below the row count: the newest 2,001 buffered events."""
+    return trimmed(t, 2_001)
+
+
 @query("history_tail", """
 select ds, y from (select date ds, cast(coalesce(sum(sales), 0) as decimal(38,4)) y
                    from r_sales group by date) order by ds desc limit 60""")
@@ -169,14 +196,23 @@ def scenario_impact(t):
                       F.round(F.col("pct"), 4).cast("decimal(18,4)").alias("pct"))
 
 
-@query("bootstrap_sample")
+@query("bootstrap_sample", """
+select d.draw, s.store_nbr, s.family, s.onpromotion, s.sales,
+       round(case when s.onpromotion = 1 then s.sales * 1.5 else s.sales end, 2) simulated
+from (select i draw, ('0x' || substr(md5('42-' || cast(i as varchar)), 1, 15))::bigint
+                     % (select count(*) from r_sales) pos
+      from range(0, (select count(*) // 100 from r_sales)) r(i)) d
+join (select *, row_number() over (order by md5(cast(order_id as varchar) || '-' || cast(line_no as varchar) || '-'
+                                                || cast(part_id as varchar) || '-' || cast(store_nbr as varchar))) - 1 pos
+      from r_sales) s using (pos)""")
 def bootstrap_sample(t):
-    """Seeded sample with replacement of future events, with the promo
-    uplift applied to a base amount (the producer's draw, as one job)."""
+    """One draw per 100 sales, exactly, seeded and with replacement, with
+    the promo uplift applied to each (the producer's draw, as one job)."""
     from storecast.operators.scenario import promo_uplift
-    s = fx.r_sales(t).select("store_nbr", "family", "onpromotion", "sales")
-    drawn = s.sample(withReplacement=True, fraction=0.01, seed=42)
-    return drawn.withColumn("simulated", promo_uplift(F.col("sales"), F.col("onpromotion")))
+    s = fx.r_sales(t)
+    drawn = draw_with_replacement(s, rc.row_key(), s.count() // 100, seed=42)
+    return drawn.select("draw", "store_nbr", "family", "onpromotion", "sales").withColumn(
+        "simulated", promo_uplift(F.col("sales"), F.col("onpromotion")))
 
 
 @query("embed_records")

@@ -1,13 +1,17 @@
-"""Registered queries that run the streaming job end to end (rows-only checks)."""
+"""Registered queries that run the streaming job end to end."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
+from storecast.operators import events as ev
 from storecast.session import work_path
 from storecast.sources import fixtures as fx
 from storecast.streaming import counters as sc
 from storecast.plans.catalog import query
+from storecast.plans.q_events import COUNTER_SQL
 
 
 def _run(t):
@@ -18,7 +22,7 @@ def _run(t):
     return root
 
 
-@query("stream_counters")
+@query("stream_counters", COUNTER_SQL)
 def stream_counters(t):
     """The event table fed through the checkpointed stream job; the
     counters read back equal the batch ``counter_rollup``."""
@@ -29,3 +33,40 @@ def stream_counters(t):
 def stream_buffer(t):
     """S10 via the stream: the buffered JSON payloads (file sink)."""
     return sc.read_buffer(t.spark, _run(t))
+
+
+@query("stream_buffer_rows", """
+select msg_id, try_cast(payload->>'store_nbr' as int) store_nbr, payload->>'family' family,
+       try_cast(payload->>'sales' as decimal(18,2)) sales from r_buffer""")
+def stream_buffer_rows(t):
+    """S10 via the stream: the buffered payloads, decoded."""
+    d = F.from_json("payload", ev.PAYLOAD_SCHEMA)
+    return sc.read_buffer(t.spark, _run(t)).select(
+        "msg_id", d["store_nbr"].try_cast("int").alias("store_nbr"), d["family"].alias("family"),
+        d["sales"].try_cast("decimal(18,2)").alias("sales"))
+
+
+@query("stream_restart", COUNTER_SQL)
+def stream_restart(t):
+    """The events arrive in two halves with a stop and a restart
+    between them, and a third run finds nothing new; each event counts once."""
+    root = work_path(t.spark, "stream", uuid.uuid4().hex)
+    source = f"{root}/source"
+    wire = fx.r_stream_wire(t)
+    half = F.pmod(F.xxhash64("msg_id"), F.lit(2)) == 0
+    for part in (wire.where(half), wire.where(~half)):
+        sc.append_events(part, source)
+        sc.run_once(t.spark, source, root)
+    sc.run_once(t.spark, source, root)
+    return sc.read_counters(t.spark, root)
+
+
+@query("buffer_drain", """
+select msg_id, payload->>'family' family from r_buffer where msg_id % 3 <> 0""")
+def buffer_drain(t):
+    """What a second drain returns after a consumer took every third id."""
+    root = _run(t)
+    fresh, marks = sc.drain_buffer(t.spark, root)
+    sc.commit_mark(fresh.where(F.col("msg_id") % 3 == 0), marks)
+    rest, _ = sc.drain_buffer(t.spark, root)
+    return rest.select("msg_id", F.get_json_object("payload", "$.family").alias("family"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storecast.functions.text import record_id, record_text
 from storecast.operators import joins
-from storecast.operators.ordering import latest_n
+from storecast.operators.ordering import newest_rows
 from storecast.sources import fixtures as fx
 from storecast.sources.tables import Tables
 
@@ -54,8 +54,9 @@ def to_records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def newest(t: Tables, n: int = NEWEST_RECORDS) -> DataFrame:
-    """L1/L2: the newest ``n`` sales with stores, numbered ascending."""
-    return latest_n(sales_with_stores(t), n, "date", TIE_COLS)
+    """L1: the newest ``n`` sales with stores.  The cut is made on the fact
+    alone (a store joins once, so the join changes no row count)."""
+    return joins.join_stores(newest_rows(fx.r_sales(t), n, "date", TIE_COLS), fx.r_stores(t))
 
 
 def initial_selection(t: Tables, max_records: int | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def initial_load(t: Tables, max_records: int | None = None) -> DataFrame:
 
 
 def daily_load(t: Tables, days: int = DAILY_DAYS) -> DataFrame:
-    return to_records(latest_days(sales_with_stores(t), days))
+    return to_records(joins.join_stores(latest_days(fx.r_sales(t), days), fx.r_stores(t)))
 
 
 def upsert(index: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
