@@ -15,7 +15,7 @@ from storecast.plans.q_report import grid
 from storecast.sources import fixtures as fx
 from storecast.sources.tables import Tables
 
-P = trees.SMALL_PARAMS
+P = trees.SOURCE_PARAMS
 FORECAST_DAYS = 30
 TRAIN_PARTITIONS = 64      # raise with the training table; the model depends on it
 _CACHE: dict[tuple, object] = {}
