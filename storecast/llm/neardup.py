@@ -17,7 +17,9 @@
 Words are runs of anything but ASCII blanks, compared as they stand.  A text of
 one to four words has one shingle: all its words.  A text without words (null,
 empty) has none: it is a class of its own row, with no links.  Repeated rows
-fall into one class.  ``doc_id`` ties are kept apart by the text.
+fall into one class.  ``doc_id`` ties are kept apart by the text.  Rows with a
+null doc_id take part like any other; a class or group has the smallest id that
+is not null, and a null one only where no member has an id.
 """
 
 from __future__ import annotations
@@ -315,10 +317,15 @@ def _set_rows(n: int):
     return run
 
 
+def _least_id(key: str, tie: str):
+    """The smallest (key, tie) of a group; a null key comes last."""
+    return F.min(F.struct(F.col(key).isNull().alias("no_id"), key, tie))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
                  n: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """One row per document: ``doc_id``, ``text_key``, ``class_id`` (smallest
-    doc_id with the same shingle set), ``class_size``, ``n_links`` (other
+    doc_id that is not null with the same shingle set), ``class_size``, ``n_links`` (other
     classes at or above the threshold), ``group_id`` (smallest doc_id reachable
     over links), ``kept`` (this row stands for its group)."""
     bands, rows = choose_bands(threshold, recall)
@@ -326,12 +333,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     # Classes, and for each the one row whose signature stands for it.
     classes = saved(signed.where("set_id IS NOT NULL").groupBy("set_id")
-                    .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("class_size"))
+                    .agg(_least_id("doc_id", "text_key").alias("rep"), F.count("*").alias("class_size"))
                     .select("set_id", F.col("rep.doc_id").alias("class_id"),
                             F.col("rep.text_key").alias("rep_key"), "class_size"), "classes")
-    reps = signed.join(classes.select("set_id", F.col("class_id").alias("doc_id"),
-                                      F.col("rep_key").alias("text_key")),
-                       ["set_id", "doc_id", "text_key"], "left_semi").drop("doc_id", "text_key", "n_set")
+    rep = classes.select(F.col("set_id").alias("_set"), "class_id", "rep_key")
+    reps = signed.join(rep, (F.col("set_id") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+                       & (F.col("text_key") == F.col("rep_key")), "left_semi").drop("doc_id", "text_key", "n_set")
     # Rows that repeat a document's id and text would stand for their class twice.
     reps = saved(reps.dropDuplicates(["set_id"]), "representatives")
     members = reps.select("set_id", F.posexplode("bands").alias("band", "h")).select(
@@ -351,7 +358,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
                            F.col("rep_key").alias("_key_text")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("_key_id"),
                         F.xxhash64(text_or_empty()).alias("_key_text"), "text")
-    texts = texts.join(small(wanted.select("_key_id", "_key_text")), ["_key_id", "_key_text"], "left_semi")
+    asked = wanted.select(F.col("_key_id").alias("_id"), F.col("_key_text").alias("_text"))
+    texts = texts.join(small(asked), F.col("_key_id").eqNullSafe(F.col("_id"))
+                       & (F.col("_key_text") == F.col("_text")), "left_semi")
     sets = texts.select("text").mapInArrow(_set_rows(n), SETS).dropDuplicates(["set_id"])
     sets = sets.join(small(wanted.select("set_id", "root")), "set_id")
     cells = into_cells(sets, sizes, "root", cell).select("cell", "side", "set_id", "members")
@@ -364,7 +373,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
                .join(small(saved(links, "link-counts")), "set_id", "left")
                .withColumn("root", F.coalesce("root", "set_id")))
     heads = saved(grouped.where(F.col("node").isNotNull()).groupBy("root")
-                  .agg(F.min(F.struct("class_id", "set_id")).alias("head")), "heads")
+                  .agg(_least_id("class_id", "set_id").alias("head")), "heads")
     grouped = saved(grouped.join(small(heads), "root", "left")
                     .select("set_id", "class_id", "rep_key", "class_size",
                             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
