@@ -3,7 +3,8 @@
 1. One pass over the texts makes, per document, its set of five-word shingles
    (hashes), a digest of that set, and a MinHash signature.  Documents with the
    same set form one class; from here on a class is handled once.
-2. Band and row counts follow from the threshold and a target recall.  Classes
+2. Band and row counts follow from the threshold and a target recall, which
+   counts the losses of the bands and of the signature filter together.  Classes
    are shuffled on band hashes.  Buckets are cut into cells of at most a few
    hundred members, so that a hot bucket becomes many tasks; a cell compares
    signatures and passes on a spanning forest of its similar pairs.
@@ -25,6 +26,7 @@ is not null, and a null one only where no member has an id.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,20 +44,37 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 CELL = 256            # members of one side of a cell
-SLACK = 0.15          # a signature this far below the threshold still counts as a candidate
+SLACK = 0.2           # a signature this far below the threshold still counts as a candidate
 
 _WORDS = bw.table()
 
 
+def _passes(threshold: float, hashes: int) -> np.ndarray:
+    """For 0 to ``hashes`` equal hashes, whether the signature filter lets a pair through."""
+    return np.arange(hashes + 1) / hashes >= max(0.0, threshold - SLACK)
+
+
+def joint_recall(threshold: float, bands: int, rows: int) -> float:
+    """Probability that a pair at the threshold shares a band and passes the
+    signature filter (hashes taken as independent; exact otherwise)."""
+    one = np.array([math.comb(rows, k) * threshold ** k * (1 - threshold) ** (rows - k) for k in range(rows + 1)])
+    equal, no_band = np.ones(1), np.ones(1)
+    for _ in range(bands):
+        equal = np.convolve(equal, one)
+        no_band = np.convolve(no_band, np.where(np.arange(rows + 1) < rows, one, 0.0))
+    return float((equal - no_band)[_passes(threshold, bands * rows)].sum())
+
+
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL,
                  max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band (fewest false candidates) with which
-    a pair at the threshold still shares a band with probability ``recall``,
-    using at most ``max_hashes`` hashes."""
+    a pair at the threshold still shares a band and passes the signature filter
+    with probability ``recall``, using at most ``max_hashes`` hashes."""
     for rows in range(max_hashes, 0, -1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log1p(-threshold ** rows))) if threshold < 1 else 1
-        if bands * rows <= max_hashes:
-            return max(1, bands), rows
+        least = int(np.ceil(np.log(1 - recall) / np.log1p(-threshold ** rows))) if threshold < 1 else 1
+        for bands in range(max(1, least), max_hashes // rows + 1):
+            if joint_recall(threshold, bands, rows) >= min(recall, 1 - 1e-12):
+                return bands, rows
     raise ValueError("max_hashes is too small for this recall")
 
 
@@ -194,7 +213,7 @@ def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _similar_signatures(least: float):
+def _similar_signatures(passes: np.ndarray):
     def run(batches):
         u, v = [], []
         for cell in _in_cells(batches, "cell"):
@@ -207,7 +226,7 @@ def _similar_signatures(least: float):
             pairs = []
             for i, x in enumerate(left):
                 to = right[i + 1:] if same else right
-                close = (sigs[to] == sigs[x]).mean(axis=1) >= least if len(to) else np.empty(0, bool)
+                close = passes[(sigs[to] == sigs[x]).sum(axis=1)] if len(to) else np.empty(0, bool)
                 pairs.append(np.stack([np.full(int(close.sum()), x), to[close]], 1))
             pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
             keep = pairs[_forest(pairs[:, 0], pairs[:, 1], cell.num_rows)]
@@ -348,7 +367,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         reps.select("set_id", "signature"), "set_id")
     cells = into_cells(near, buckets, "bucket", cell).select("cell", "side", "set_id", "signature")
     hints = (cells.repartition("cell").sortWithinPartitions("cell")
-             .mapInArrow(_similar_signatures(max(0.0, threshold - SLACK)), EDGES))
+             .mapInArrow(_similar_signatures(_passes(threshold, bands * rows)), EDGES))
     clusters = components(hints, "candidates")
 
     # Verify within every candidate cluster on the full sets.

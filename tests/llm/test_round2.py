@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from storecast.llm import neardup
 
 
@@ -27,3 +29,14 @@ def test_jaccard_join_null_ids(llm):
             (None, 5, 3, 1, 5, False), (None, None, 2, 1, 12, False), (None, None, 2, 1, 12, False)]
         assert len(of_c) == 2 and all(r[1:5] == (None, 1, 1, None) for r in of_c)
         assert sorted(r[5] for r in of_c) == [False, True]
+
+
+def test_recall_counts_the_signature_filter():
+    bands, rows = neardup.choose_bands(0.8, 0.999)
+    joint = neardup.joint_recall(0.8, bands, rows)
+    assert 0.999 <= joint <= 1 - (1 - 0.8 ** rows) ** bands
+    rng = np.random.default_rng(11)
+    equal = rng.random((200_000, bands, rows)) < 0.8
+    found = equal.all(axis=2).any(axis=1) & neardup._passes(0.8, bands * rows)[equal.sum(axis=(1, 2))]
+    assert abs(found.mean() - joint) < 4e-4
+    assert neardup.choose_bands(1.0)[0] == 1
