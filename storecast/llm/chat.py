@@ -57,7 +57,7 @@ BACK = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("formatted_chars", T.LongType()),
     T.StructField("turns", T.ArrayType(T.StructType([
         T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))),
-    T.StructField("loss_texts", T.ArrayType(T.StringType()))])
+    T.StructField("loss_texts", T.ArrayType(T.StringType())), T.StructField("attachment_tokens", T.LongType())])
 
 
 def escape(text: str) -> str:
@@ -163,7 +163,7 @@ def _back(batches):
         for row in batch.to_pylist():
             turns, loss = read_one(row["formatted"], row["loss_spans"])
             rows.append({"conv_id": row["conv_id"], "formatted_chars": len(row["formatted"]), "turns": turns,
-                         "loss_texts": loss})
+                         "loss_texts": loss, "attachment_tokens": row["attachment_tokens"]})
         yield pa.RecordBatch.from_pylist(rows, schema=_BACK_ARROW)
 
 
@@ -174,7 +174,7 @@ _CHAT_ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("
                          ("attachments", pa.list_(_ATTACHED)), ("attachment_tokens", pa.int64())])
 _BACK_ARROW = pa.schema([("conv_id", pa.int64()), ("formatted_chars", pa.int64()),
                          ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
-                         ("loss_texts", pa.list_(pa.string()))])
+                         ("loss_texts", pa.list_(pa.string())), ("attachment_tokens", pa.int64())])
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -187,5 +187,6 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """Turns and texts under the loss mask, read back from the output."""
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_back, BACK)
+    """Turns and texts under the loss mask, read back from the output; the
+    attachments' tokens as they were recorded."""
+    return formatted.select("conv_id", "formatted", "loss_spans", "attachment_tokens").mapInArrow(_back, BACK)

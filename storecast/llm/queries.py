@@ -151,7 +151,7 @@ def op6(table):
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), "formatted_chars",
-        F.lit(0).cast("long").alias("attachment_tokens"))
+        "attachment_tokens")
 
 
 OP7_SQL = """

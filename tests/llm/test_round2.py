@@ -3,8 +3,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from storecast.llm import neardup
+from storecast.llm import chat, neardup
+from storecast.llm.queries import QUERIES
+
+from ..conftest import SF_SMALL
 
 
 def test_jaccard_join_null_ids(llm):
@@ -40,3 +44,14 @@ def test_recall_counts_the_signature_filter():
     found = equal.all(axis=2).any(axis=1) & neardup._passes(0.8, bands * rows)[equal.sum(axis=(1, 2))]
     assert abs(found.mean() - joint) < 4e-4
     assert neardup.choose_bands(1.0)[0] == 1
+
+
+def test_chat_query_shows_recorded_attachment_tokens(llm, monkeypatch):
+    content = '[{"type":"image","ref":"a.png","width":56,"height":30}]'
+    rows = llm.createDataFrame([(1, 0, "user", None, content)],
+                               "conv_id long, turn long, role string, text string, content string")
+    assert chat.read_chats(chat.format_chats(rows)).first().attachment_tokens == 4
+    made = chat.format_chats
+    monkeypatch.setattr(chat, "format_chats", lambda r: made(r).withColumn("attachment_tokens", F.lit(7).cast("long")))
+    got = QUERIES["op6_chat_format"](llm, SF_SMALL).select("attachment_tokens").distinct().collect()
+    assert [r.attachment_tokens for r in got] == [7]
