@@ -285,7 +285,16 @@ class RankedMerges:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
-_CODERS: dict[int, pt.CodeBook] = {}   # one per worker process and rank table
+_CODERS: dict[int, tuple] = {}   # one per worker process and rank table
+
+
+def _whole(ranks: dict[bytes, int], documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by the tiktoken library (for code points that its Unicode
+    tables know and Python's do not)."""
+    import public_tokenizers
+    import tiktoken
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return pt.joined([np.array(coder.encode_ordinary(t.decode()), np.int32) for t in documents], np.int32)
 
 
 def _encoder(ranks: dict[bytes, int], tag: int):
@@ -301,6 +310,11 @@ def _encoder(ranks: dict[bytes, int], tag: int):
             flat, sizes = [], []
             for _, _, d, o in bw.blocks(data, offsets):
                 cp, at = pt.code_points(d)
+                if pt.has_unassigned(cp):
+                    ids, size = _whole(ranks, [d[a:b].tobytes() for a, b in zip(o[:-1].tolist(), o[1:].tolist())])
+                    flat.append(ids)
+                    sizes.append(size)
+                    continue
                 first = np.searchsorted(at, o[:-1])
                 start = at[pt.split_spaced(cp, first)]
                 end = np.append(start[1:], len(d))

@@ -3,7 +3,9 @@
 A block is the UTF-8 bytes of some documents end to end plus their offsets.
 Tokens are maximal runs of bytes that a 256-entry table maps above zero; they
 never cross a document.  A token is known by a 64-bit hash of its mapped bytes,
-so no Python string is made per word.
+so no Python string is made per word.  The hash multiplies a random number per
+byte value by a random number per position (and per 64 KB piece), so that no
+regular input, as a power series would allow, makes two tokens collide.
 """
 
 from __future__ import annotations
@@ -16,26 +18,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
 _SPAN = 1 << 16
 
 
-def _powers(n: int, base: int = _BASE) -> np.ndarray:
-    out = np.empty(n, U64)
-    out[0] = 1
-    filled = 1
-    with np.errstate(over="ignore"):
-        while filled < n:
-            step = U64(pow(base, filled, 1 << 64))
-            take = min(filled, n - filled)
-            out[filled:filled + take] = out[:take] * step
-            filled += take
-    return out
-
-
-_POWERS = _powers(_SPAN)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -46,10 +31,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POSITION = mix(np.arange(1, _SPAN + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+_SCATTER = mix(np.arange(257, dtype=U64) * U64(0xA0761D6478BD642F) + U64(0xE7037ED1A0B428DB))
+_SCATTER[0] = 0
+
+
+def run_hashes(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs that lie end to end in ``value`` (random numbers of their
+    members), ``size`` members each and none empty."""
+    if not len(size):
+        return np.empty(0, U64)
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+    factor = _POSITION[within & (_SPAN - 1)]
+    if int(size.max()) > _SPAN:
+        factor = factor * (mix((within >> 16).astype(U64) + U64(0x589965CC75374CC3)) | U64(1))
+    h = np.add.reduceat(value * factor, first)
+    return mix(h ^ size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def table(separators: bytes = b" \t\n\v\f\r", fold: bool = False) -> np.ndarray:
     """Byte table: 0 for separators, byte value + 1 otherwise; ``fold`` maps
     A-Z to a-z."""
-    t = np.arange(1, 257, dtype=U64)
+    t = np.arange(1, 257, dtype=np.uint16)
     if fold:
         t[ord("A"):ord("Z") + 1] = t[ord("a"):ord("z") + 1]
     t[list(separators)] = 0
@@ -98,14 +102,7 @@ class Tokens:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.n_docs = len(offsets) - 1
         lens = self.end - self.start
-        first = np.cumsum(lens) - lens
-        if len(first):
-            within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
-            within &= _SPAN - 1
-            h = np.add.reduceat(value[inside] * _POWERS[within], first)
-            self.hash = mix(h ^ lens.astype(U64) * U64(0xD6E8FEB86659FD93))
-        else:
-            self.hash = np.empty(0, U64)
+        self.hash = run_hashes(_SCATTER[value[inside]], lens)
 
     def counts(self) -> np.ndarray:
         """Tokens per document."""

@@ -49,8 +49,7 @@ class LetterWords:
             inner = np.cumsum(size) - size
             within = np.arange(int(size.sum())) - np.repeat(inner, size)
             chars = low[within + np.repeat(starts, size)]
-            h = np.add.reduceat((chars + np.uint64(1)) * bw._POWERS[within & (bw._SPAN - 1)], inner)
-            h = bw.mix(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            h = bw.run_hashes(bw.mix((chars + np.uint64(1)) * _C), size)
             self.hash, where, self.distinct = np.unique(h, return_index=True, return_inverse=True)
             self.size = size[where]
             self.chars = pt.ragged(low, starts[where], self.size)

@@ -22,11 +22,13 @@ The distinct words of a batch are passed to the library once; a word's ids do
 not depend on its neighbours, because the tokenizer's own pre-tokenizer cuts
 there.  Batches in which that could fail (text that is not in normal form, a
 special token's string, a letter whose lower case is two characters) are cut at
-ASCII blanks only.
+ASCII blanks only.  Where a code point is unassigned in Python's Unicode tables,
+whole documents go to the library, whose tables may be newer.
 
 A null or empty text has only the end id.  Rows with equal doc_id stay beside
-each other in unspecified order; a null doc_id comes first.  Other columns are
-not read.
+each other, in the order of a hash of their ids (rows equal in that too have the
+same ids); a null doc_id comes first.  An empty table gives empty files and no
+rows.  Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -147,8 +149,10 @@ def _plain(block: bytes) -> bool:
 def encode_block(d: np.ndarray, o: np.ndarray, books: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, ids per document) of one block, without end ids."""
     fine, coarse = books
+    cp, at = pt.code_points(d)
+    if pt.has_unassigned(cp):
+        return coarse.encode([d[a:b].tobytes() for a, b in zip(o[:-1].tolist(), o[1:].tolist())])
     if _plain(d.tobytes()):
-        cp, at = pt.code_points(d)
         s, e = pt.split_bare(cp, np.searchsorted(at, o[:-1]))
         start, end, book, table = at[s], at[e], fine, _FOLD
     else:
@@ -165,7 +169,7 @@ def code_books(tokenizer_json: str, tag: int) -> tuple:
     if tag not in _BOOKS:
         _BOOKS.clear()
         words = WordIds(tokenizer_json)
-        _BOOKS[tag] = (pt.CodeBook(words.together, np.uint32), pt.CodeBook(words.one_by_one, np.uint32))
+        _BOOKS[tag] = (pt.CodeBook(words.together, np.uint32, fold=_FOLD), pt.CodeBook(words.one_by_one, np.uint32))
     return _BOOKS[tag]
 
 
@@ -263,7 +267,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END
     rank_of = np.zeros(int(ranking.max()) + 1 if len(ranking) else 1, np.uint32)
     rank_of[ranking] = np.arange(len(ranking), dtype=np.uint32)
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = (ids.withColumn("order", F.xxhash64("ids")).repartitionByRange("doc_id", "order")
+               .sortWithinPartitions("doc_id", "order").drop("order"))
     segments = ordered.mapInArrow(_writer(rank_of, kind, segment_ids), SEGMENT)
     segments.write.option("compression", "zstd").parquet(f"{path}/segments")
     spark = docs.sparkSession

@@ -15,7 +15,10 @@ cut into pieces whose transfer matrices are multiplied first, so a text of any
 length costs few array steps; the result equals the plain recursion.
 
 A null text or one without letters is ``und`` with score 0.  Ties go to the
-smaller label.  Without any labelled row every text is ``und``.
+smaller label.  Without any labelled row every text is ``und``.  A row with a
+null id is scored and not held out.  Repeated rows are scored each; the fit reads
+an id's rows once.  An empty table gives no rows.  Other columns may have any
+name: only doc_id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -195,19 +198,21 @@ class Crf:
 
 
 def held_out(fold: int = 5, rest: int = 0) -> Column:
-    """crc32 of the id as text, modulo ``fold``, equals ``rest``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest
+    """crc32 of the id as text, modulo ``fold``, equals ``rest``; a null id is
+    not held out (and never learned from: ``fit_sample`` leaves it out)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
 def fit_sample(docs: DataFrame, label: Column, may_learn: Column, rows: int, chars: int) -> list[tuple[str, str]]:
     """(text, label) of at most ``rows`` labelled documents in hash order: the
     ids are chosen on narrow columns, then their texts are read."""
-    ids = (docs.where(may_learn & label.isNotNull() & F.col("doc_id").isNotNull())
+    labelled = docs.select("doc_id", "text", label.alias("_label"), may_learn.alias("_may"))
+    ids = (labelled.where(F.col("_may") & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
            .select(F.col("doc_id").alias("_id")).distinct()
            .orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(rows))
-    picked = (docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))       # at most ``rows`` ids
-              .where(F.col("text").isNotNull() & label.isNotNull() & (F.length("text") <= chars))
-              .select("doc_id", "text", label.alias("_label")))
+    picked = (labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))       # at most ``rows`` ids
+              .where(F.col("text").isNotNull() & F.col("_label").isNotNull() & (F.length("text") <= chars))
+              .select("doc_id", "text", "_label"))
     table = picked.orderBy("doc_id", "_label", "text").limit(rows).toArrow()
     return list(zip(table.column("text").to_pylist(), table.column("_label").to_pylist()))
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 1. One pass over the texts makes, per document, its set of five-word shingles
-   (hashes), a digest of that set, and a MinHash signature.  Documents with the
+   (hashes), a 128-bit digest of that set, and a MinHash signature.  Documents with the
    same set form one class; from here on a class is handled once.
 2. Band and row counts follow from the threshold and a target recall, which
    counts the losses of the bands and of the signature filter together.  Classes
@@ -20,13 +20,15 @@ one to four words has one shingle: all its words.  A text without words (null,
 empty) has none: it is a class of its own row, with no links.  Repeated rows
 fall into one class.  ``doc_id`` ties are kept apart by the text.  Rows with a
 null doc_id take part like any other; a class or group has the smallest id that
-is not null, and a null one only where no member has an id.
+is not null, and a null one only where no member has an id.  An empty table
+gives no rows.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,12 +109,26 @@ def _sets(data, offsets, n) -> Iterator[np.ndarray]:
         yield np.unique(gram[a:b])
 
 
-def _digest(members: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(members: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits of a set, as two longs; nulls for the empty set."""
+    if not len(members):
+        return None, None
+    return struct.unpack("<qq", hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+
+
+def settled(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` whose ``set_id`` stands for the whole digest (``set_id``,
+    ``set_check``): where different sets share the first half (``shared``, a
+    handful of ids if any), the second half is hashed into the id."""
+    known = rows.join(small(shared.select(F.col("set_id").alias("_shared"))),
+                      F.col("set_id") == F.col("_shared"), "left")
+    return known.withColumn("set_id", F.when(F.col("_shared").isNull(), F.col("set_id"))
+                            .otherwise(F.xxhash64("set_id", "set_check"))).drop("_shared")
 
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()),
-                       T.StructField("set_id", T.LongType()), T.StructField("n_set", T.IntegerType()),
+                       T.StructField("set_id", T.LongType()), T.StructField("set_check", T.LongType()),
+                       T.StructField("n_set", T.IntegerType()),
                        T.StructField("bands", T.ArrayType(T.LongType())),
                        T.StructField("signature", T.BinaryType())])
 
@@ -139,7 +155,7 @@ def _signer(bands: int, rows: int, n: int):
                 h = np.zeros((docs, bands), np.uint64)
                 for r in range(rows):
                     h = bw.mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + cut[:, :, r])
-                set_id += [_digest(m) if len(m) else None for m in members]
+                set_id += [_digest(m) for m in members]
                 n_set.append(sizes)
                 band.append(h.view(np.int64))
                 sig += [r.tobytes() for r in (lows >> np.uint64(48)).astype(np.uint16)]
@@ -147,7 +163,8 @@ def _signer(bands: int, rows: int, n: int):
                 continue
             band = np.concatenate(band)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(set_id, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([a for a, _ in set_id], pa.int64()),
+                 pa.array([b for _, b in set_id], pa.int64()),
                  pa.array(np.concatenate(n_set).astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1, dtype=np.int32) * bands),
                                           pa.array(band.ravel())),
@@ -319,7 +336,8 @@ def into_cells(rows: DataFrame, sizes: DataFrame, group: str, cell: int = CELL)
             .drop("_b", "_mine", "_other", "n"))
 
 
-SETS = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("members", T.BinaryType())])
+SETS = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("set_check", T.LongType()),
+                     T.StructField("members", T.BinaryType())])
 
 
 def _set_rows(n: int):
@@ -329,10 +347,11 @@ def _set_rows(n: int):
             ids, members = [], []
             for _, _, d, o in bw.blocks(data, offsets):
                 for m in _sets(d, o, n):
-                    ids.append(_digest(m) if len(m) else None)
+                    ids.append(_digest(m))
                     members.append(m.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())],
-                                             names=SETS.names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()),
+                 pa.array(members, pa.binary())], names=SETS.names)
     return run
 
 
@@ -350,6 +369,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     bands, rows = choose_bands(threshold, recall)
     signed = saved(sign(docs, bands, rows, n), "signed")
 
+    # Different sets that share half of their digest are told apart by the other half.
+    shared = saved(signed.where("set_id IS NOT NULL").groupBy("set_id")
+                   .agg(F.min("set_check").alias("lo"), F.max("set_check").alias("hi"))
+                   .where("lo <> hi").select("set_id"), "shared-digests")
+    distinct = shared.isEmpty()
+    if not distinct:
+        signed = saved(settled(signed, shared), "signed")
+
     # Classes, and for each the one row whose signature stands for it.
     classes = saved(signed.where("set_id IS NOT NULL").groupBy("set_id")
                     .agg(_least_id("doc_id", "text_key").alias("rep"), F.count("*").alias("class_size"))
@@ -357,7 +384,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
                             F.col("rep.text_key").alias("rep_key"), "class_size"), "classes")
     rep = classes.select(F.col("set_id").alias("_set"), "class_id", "rep_key")
     reps = signed.join(rep, (F.col("set_id") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-                       & (F.col("text_key") == F.col("rep_key")), "left_semi").drop("doc_id", "text_key", "n_set")
+                       & (F.col("text_key") == F.col("rep_key")), "left_semi").drop("doc_id", "text_key", "n_set", "set_check")
     # Rows that repeat a document's id and text would stand for their class twice.
     reps = saved(reps.dropDuplicates(["set_id"]), "representatives")
     members = reps.select("set_id", F.posexplode("bands").alias("band", "h")).select(
@@ -380,7 +407,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     asked = wanted.select(F.col("_key_id").alias("_id"), F.col("_key_text").alias("_text"))
     texts = texts.join(small(asked), F.col("_key_id").eqNullSafe(F.col("_id"))
                        & (F.col("_key_text") == F.col("_text")), "left_semi")
-    sets = texts.select("text").mapInArrow(_set_rows(n), SETS).dropDuplicates(["set_id"])
+    sets = texts.select("text").mapInArrow(_set_rows(n), SETS)
+    sets = (sets if distinct else settled(sets, shared)).drop("set_check").dropDuplicates(["set_id"])
     sets = sets.join(small(wanted.select("set_id", "root")), "set_id")
     cells = into_cells(sets, sizes, "root", cell).select("cell", "side", "set_id", "members")
     found = saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(threshold), FOUND),
