@@ -55,9 +55,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     start(spark)
     mixed = saved(curriculum.mix(docs), "mixed")
     rows = one_row_per_key(docs, mixed.select("doc_id", "text_key"))
-    passes = saved(curriculum.training_order(mixed).select("doc_id", "text_key", "position"), "passes")
+    passes = saved(curriculum.training_order(mixed).select("doc_id", "text_key", F.col("position").alias("__position")),
+                   "passes")
     joined = rows.join(small(on_key(passes)), key_match())
-    return joined.orderBy("position", ROW_ID).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.orderBy("__position", ROW_ID).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
