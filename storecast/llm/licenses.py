@@ -4,9 +4,11 @@ A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 characters.
 
 * Phrases: places where a phrase's words stand one after another.
-* Templates: a text block (a window of ``BLOCK`` words, a new one every
-  ``STRIDE`` words, to the end of the text) matches a template if it contains at
-  least ``THRESHOLD`` of the template's distinct words.  The join is exact:
+* Templates: a text block (any ``BLOCK`` words in a row, whatever word they
+  start at) matches a template if it contains at least ``THRESHOLD`` of the
+  template's distinct words.  Only blocks that start at a template word and end
+  later than the block before them are looked at: the template words of every
+  other block are among theirs.  The join is exact:
 
   1. the words of all templates are counted over all documents and put in one
      global order, rarest first;
@@ -22,7 +24,9 @@ The template list is a parameter of fixed size: only it, its words' counts and
 its index are ever broadcast.
 
 A null or empty text has no words, no labels and score 0.  Repeated rows are
-scanned one by one; very long texts whole.  Ties in frequency go by the word.
+scanned one by one; very long texts whole.  Ties in frequency go by the word.  An
+empty table gives no rows.  Only doc_id and text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from storecast.llm import bytewords as bw
 from storecast.llm.common import saved, small, text_or_empty
 
 BLOCK = 48
-STRIDE = 24
 THRESHOLD = 0.8
 
 # The phrases of the contract.
@@ -119,7 +122,7 @@ def global_order(docs: DataFrame, templates) -> list[str]:
     return sorted(vocab, key=lambda w: (n.get(vocab.index(w), 0), w))
 
 
-def _scanner(phrases, order: list[str], least: int, prefix_words: set[int], block: int, stride: int):
+def _scanner(phrases, order: list[str], least: int, prefix_words: set[int], block: int):
     phrase_hashes = [(_hashes(text), label) for text, label in phrases]
     hashes = np.concatenate([_hashes(w) for w in order])
     sort = np.argsort(hashes)
@@ -149,28 +152,27 @@ def _scanner(phrases, order: list[str], least: int, prefix_words: set[int], bloc
             np.maximum.at(high, doc, at - begin[doc])
             for x in set(doc.tolist()):
                 labels[x].add(label)
-        # Blocks: word w of a document lies in the windows that start at or before it.
+        # Template words, and for each the block that starts there.
         i = np.minimum(np.searchsorted(keys, t.hash), len(keys) - 1)
         at = np.flatnonzero(keys[i] == t.hash)
         word, doc = sort[i[at]], t.doc[at]
-        place = at - begin[doc]
-        rows = []
-        for back in range(-(-block // stride)):
-            window = place // stride - back
-            ok = (window >= 0) & (place - window * stride < block)
-            rows.append(np.stack([doc[ok], window[ok], word[ok]], 1))
         blocks: list[list] = [[] for _ in range(n)]
-        if rows and len(at):
-            r = np.concatenate(rows)
-            width = len(order) + 1
-            span = int(r[:, 1].max()) + 1
-            code = np.unique((r[:, 0] * span + r[:, 1]) * width + r[:, 2])
-            cell, word = code // width, code % width
-            cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            size = np.diff(np.append(cuts, len(cell)))
-            go = (size >= least) & (np.add.reduceat(is_prefix[word].astype(np.int64), cuts) > 0)
-            for c, k in zip(cuts[go].tolist(), size[go].tolist()):
-                blocks[int(cell[c] // span)].append(word[c:c + k].tolist())
+        if len(at):
+            # Word places with a gap of a block between documents, so that one search finds all ends.
+            place = at + doc * block
+            end = np.searchsorted(place, place + block)
+            widest = np.concatenate([[True], end[1:] > end[:-1]])
+            b = np.flatnonzero(widest & (end - np.arange(len(at)) >= least))
+            size = end[b] - b
+            nth = np.repeat(np.arange(len(b)), size)
+            inside = np.arange(len(nth)) - np.repeat(np.cumsum(size) - size - b, size)
+            code = np.unique(nth * (len(order) + 1) + word[inside])
+            nth, held = code // (len(order) + 1), code % (len(order) + 1)
+            distinct = np.bincount(nth, minlength=len(b))
+            go = (distinct >= least) & (np.bincount(nth, is_prefix[held], minlength=len(b)) > 0)
+            first = np.cumsum(distinct) - distinct
+            for k in np.flatnonzero(go).tolist():
+                blocks[int(doc[b[k]])].append(held[first[k]:first[k] + distinct[k]].tolist())
         return n_words, n_base, np.where(n_base > 0, low, -1), high, labels, blocks
 
     def run(batches):
@@ -189,7 +191,7 @@ def _scanner(phrases, order: list[str], least: int, prefix_words: set[int], bloc
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD,
-                  block: int = BLOCK, stride: int = STRIDE) -> DataFrame:
+                  block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_base, first_word,
     last_word, base_labels, labels (arrays) and score: the largest share of a
     template that a matching block contains, 1 where a phrase stands."""
@@ -202,7 +204,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     least = min(needed(len(s), threshold) for s, _ in sets)
     scanned = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                                 F.xxhash64(text_or_empty()).alias("text_key"), "text")
-                    .mapInArrow(_scanner(phrases, order, least, {x[0] for x in index}, block, stride), SCANNED),
+                    .mapInArrow(_scanner(phrases, order, least, {x[0] for x in index}, block), SCANNED),
                     "license-scan")
 
     probes = F.broadcast(spark.createDataFrame(index, "word int, template int, t_at int, t_size int, need int"))

@@ -223,8 +223,8 @@ hit AS ({' UNION ALL '.join(
 base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS ls FROM hit GROUP BY r),
 t(k, word, size, need, label) AS (VALUES {', '.join(
     f"({k}, '{x}', {len(ws)}, {_NEED[k]}, '{label}')" for k, ws, label in _T for x in ws)}),
-v AS (SELECT r, word, i // {licenses.STRIDE} - back AS win FROM w, (SELECT unnest([0, 1]) AS back)
-      WHERE i // {licenses.STRIDE} >= back AND word IN (SELECT word FROM t)),
+tw AS (SELECT r, word, i FROM w WHERE word IN (SELECT word FROM t)),
+v AS (SELECT a.r, a.i AS win, b.word FROM tw a JOIN tw b ON a.r = b.r AND b.i BETWEEN a.i AND a.i + {licenses.BLOCK - 1}),
 c AS (SELECT r, win, k, label, size, need, count(DISTINCT v.word) AS n FROM v JOIN t USING (word)
       GROUP BY r, win, k, label, size, need HAVING count(DISTINCT v.word) >= need),
 more AS (SELECT r, list(DISTINCT label) AS ls, max(n::DOUBLE / size::DOUBLE) AS share FROM c GROUP BY r)
