@@ -36,7 +36,7 @@ def class_table() -> np.ndarray:
 
 
 @functools.cache
-def _unassigned() -> np.ndarray:
+def unassigned_table() -> np.ndarray:
     names = "".join(map(unicodedata.category, map(chr, range(0x110000))))
     return np.frombuffer(names.encode(), np.uint16) == int.from_bytes(b"Cn", "little")
 
@@ -44,7 +44,7 @@ def _unassigned() -> np.ndarray:
 def has_unassigned(cp: np.ndarray) -> bool:
     """Whether a code point is unassigned in Python's Unicode tables: a library
     with newer tables may know it as a letter, number or mark."""
-    return bool(len(cp)) and int(cp.max()) >= 0x378 and bool(_unassigned()[cp].any())
+    return bool(len(cp)) and int(cp.max()) >= 0x378 and bool(unassigned_table()[cp].any())
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +109,14 @@ def split_spaced(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(word)
 
 
-def split_bare(cp: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_bare(cp: np.ndarray, first: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of the pattern
     ``'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+`` (letters of
-    either case, white space dropped)."""
+    either case, white space dropped).  ``kind``: the code points' classes, where
+    they differ from the table's."""
     n = len(cp)
-    kind = class_table()[cp]
+    if kind is None:
+        kind = class_table()[cp]
     run = _run_starts(kind, first)
     word = run | (kind == NUMBER)
     x, end = _contractions(cp, kind, run, first, any_case=True, after_space=True)

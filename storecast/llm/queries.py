@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storecast.llm import (bytebpe, chat, curriculum, exactdedup, freqcode, langid, licenses, neardup, rules,
-                           toxicity)
+                           toxicity, transducer)
 from storecast.llm.common import start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,6 +278,15 @@ def op10(table):
         "doc_id", "class_id", "class_size", "n_links", "group_id", "kept")
 
 
+@query("op11_streaming_bpe")
+def op11(table):
+    """BPE ids and decoded text of every document by the bounded-lookahead transducer, as digests."""
+    return transducer.encode_decode(table("documents"), WORD_TOKENIZER).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five pipeline stages over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
