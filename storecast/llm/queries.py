@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storecast.llm import (bytebpe, chat, curriculum, exactdedup, freqcode, langid, licenses, neardup, rules,
+from storecast.llm import (bytebpe, chat, curriculum, exactdedup, freqcode, langid, licenses, neardup, presence, rules,
                            toxicity, transducer)
 from storecast.llm.common import start
 
@@ -287,6 +287,34 @@ def op11(table):
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '{_TERM}') AS ws
+           FROM documents),
+s AS (SELECT count(*)::BIGINT AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+p AS (SELECT r, word, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY ALL),
+q AS (SELECT item_id, i, word, count(*)::BIGINT AS k
+      FROM (SELECT item_id, row_number() OVER () AS i,
+                   unnest(regexp_extract_all(translate(text, '{_AZ}', '{_AZ.lower()}'), '{_TERM}')) AS word
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+f AS (SELECT word, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM p, s GROUP BY word, nn),
+m AS (SELECT r, doc_id, 25 + (75 * len(ws)::BIGINT * nn) // ll AS m FROM d, s WHERE len(ws) > 0),
+x AS (SELECT item_id, i, r, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN p USING (word) JOIN f USING (word) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+      FROM x JOIN m USING (r) WHERE score > 0) WHERE rank <= {presence.TOP}
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12(table):
+    """The ten best documents of every benchmark item, by presence-mask groups."""
+    return presence.ranked_search(table("documents"), table("benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five pipeline stages over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
