@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storecast.llm import (bytebpe, chat, curriculum, exactdedup, freqcode, langid, licenses, neardup, presence, rules,
+from storecast.llm import (bytebpe, chat, curriculum, exactdedup, freqcode, hardneg, langid, licenses, neardup, presence, rules,
                            toxicity, transducer)
 from storecast.llm.common import start
 
@@ -315,6 +315,32 @@ def op12(table):
     return presence.ranked_search(table("documents"), table("benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+OP13_SQL = f"""
+WITH r AS (SELECT row_number() OVER () AS i, vec_id, embedding,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT i, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM r),
+s AS (SELECT a.i AS ai, a.vec_id AS anchor_id, a.label = b.label AS same, b.i AS bi, b.vec_id,
+             list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.i <> b.i WHERE a.vec_id % 50 = 0),
+p AS (SELECT ai, anchor_id, bi, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ai ORDER BY score DESC, vec_id, bi) <= {hardneg.POSITIVES})
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.ai, p.bi ORDER BY score DESC, vec_id, s.bi))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.ai = s.ai AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.ai, p.bi ORDER BY score DESC, vec_id, s.bi) <= {hardneg.NEGATIVES}
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(table):
+    """Hard negatives of every fiftieth vector, by threshold joins; a seventh of the labels is shifted first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table("embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five pipeline stages over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
