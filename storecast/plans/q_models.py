@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storecast.models import trees, trend
+from storecast.models import boost, trees, trend
 from storecast.operators import encode, joins
 from storecast.operators import scenario as sc
 from storecast.plans import features as ft
 from storecast.plans.catalog import query
 from storecast.plans.q_features import FACT_CTES
-from storecast.plans.q_report import grid
+from storecast.plans.q_report import GRID_SQL, grid
 from storecast.sources import fixtures as fx
 from storecast.sources.tables import Tables
 
 P = trees.SOURCE_PARAMS
 FORECAST_DAYS = 30
-TRAIN_PARTITIONS = 64      # raise with the training table; the model depends on it
 _CACHE: dict[tuple, object] = {}
 
 
@@ -36,9 +35,6 @@ def training_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
         codes = ft.fit_feature_codes(t, keys, stores)
         j = ft.joined(t, facts, keys=keys, stores=stores)
         table = ft.with_split(encode.apply_codes(j, codes))
-        # The learner samples splits per partition, so the partitioning is fixed
-        # by the rows' keys and never by the machine.
-        table = table.repartition(TRAIN_PARTITIONS, *[F.col(c) for c in ft.ROW_KEYS if c in table.columns])
         table = table.checkpoint(eager=True)
         _CACHE[k] = (table, codes)
     return _CACHE[k]
@@ -52,8 +48,7 @@ def fitted(t: Tables):
         table, _ = training_frame(t)
         train = table.where(F.col("split") == "train")
         val = table.where(F.col("split") == "validate")
-        _CACHE[k] = trees.fit_early_stop(train, val, P["max_iter"], P["step"], P["depth"],
-                                         P["seed"], P["patience"])
+        _CACHE[k] = boost.fit(train, val, P["max_iter"], P["step"], P["depth"], P["patience"])
     return _CACHE[k]
 
 
@@ -92,6 +87,59 @@ def gbt_early_stop(t):
     return t.spark.createDataFrame(rows, "round int, val_mse double, is_best boolean")
 
 
+VALIDATED = f"from features where date >= date '{ft.SPLIT_DATE}' or date is null"
+
+
+@query("gbt_scored_rows", f"""
+select order_id, line_no, part_id, msg_id, true scored {VALIDATED}""", extra=FACT_CTES)
+def gbt_scored_rows(t):
+    """M1/M3: which validation rows got a prediction of at least 0."""
+    return gbt_fit_score(t).select(*ft.ROW_KEYS, F.coalesce(F.col("prediction") >= 0, F.lit(False)).alias("scored"))
+
+
+@query("gbt_report", f"""
+select count(*) n_rows, count(sales) n_labelled, 0::bigint n_unscored, true fits_better, 1 n_best, true patience_kept
+{VALIDATED}""", extra=FACT_CTES)
+def gbt_report(t):
+    """M1-M3: validation rows scored, whether the training rows' mean squared error
+    is below that of their mean, and whether the round kept follows from the patience rule."""
+    model, errors, best = fitted(t)
+    table, _ = training_frame(t)
+    y = F.col("sales").cast("double")
+    train = trees.labelled(table.where(F.col("split") == "train"))
+    fit = model.transform(train).agg(
+        (F.avg((y - F.col("prediction")) ** 2) < F.var_pop(y)).alias("fits_better"))
+    kept = best == trees.best_round(errors, P["patience"]) and (
+        len(errors) == P["max_iter"] or best + P["patience"] < len(errors) <= best + P["patience"] + boost.BLOCK)
+    rows = gbt_fit_score(t).agg(
+        F.count("*").alias("n_rows"), F.count("sales").alias("n_labelled"),
+        F.count_if(F.col("prediction").isNull()).alias("n_unscored"),
+        F.lit(sum(i == best for i in range(len(errors)))).alias("n_best"), F.lit(bool(kept)).alias("patience_kept"))
+    return rows.join(F.broadcast(fit))            # one row each
+
+
+_FEATURES = ", ".join(f"coalesce(cast({c} as double), 0.0) as {c}" for c in ft.FEATURES)
+FIRST_SPLIT_SQL = f"""
+tr as (select cast(sales as double) y, {_FEATURES} from features where date < date '{ft.SPLIT_DATE}' and sales is not null),
+u as (unpivot tr on {", ".join(ft.FEATURES)} into name feature value v),
+tot as (select count(*) n, sum(y) / count(*) base from tr),
+b as (select feature, v, count(*) n, sum(base - y) g from u, tot group by feature, v),
+c as (select feature, v threshold, coalesce(sum(n) over w, 0) nl, coalesce(sum(g) over w, 0) gl from b
+      window w as (partition by feature order by v rows between unbounded preceding and 1 preceding)),
+e as (select feature, threshold, nl, tot.n - nl nr, gl * gl / (nl + 1) + gl * gl / (tot.n - nl + 1) gain
+      from c, tot where nl > 0)"""
+
+
+@query("gbt_first_split", """
+select feature, threshold, cast(nl as bigint) n_left, cast(nr as bigint) n_right, round(gain / 1e6, 2) gain_m
+from e order by gain desc limit 1""", extra=FACT_CTES + "," + FIRST_SPLIT_SQL)
+def gbt_first_split(t):
+    """M1: the first split of the first tree and the rows on either side."""
+    table, _ = training_frame(t)
+    s = boost.first_split(table.where(F.col("split") == "train"))
+    return t.spark.createDataFrame([s], "feature string, threshold double, n_left bigint, n_right bigint, gain_m double")
+
+
 def request_features(t: Tables) -> DataFrame:
     """scoring rows from the requests, with default regressors and codes."""
     _, codes = training_frame(t)
@@ -113,6 +161,23 @@ def score_requests(t):
     return out.select("store_nbr", "family", "date", "promo", "prediction", "reason")
 
 
+@query("score_requests_rows", """
+select r.store_nbr, r.family, r.date, r.promo, s.store_nbr is not null known_store from r_requests r
+left join r_stores s using (store_nbr)""")
+def score_requests_rows(t):
+    """M3: the requests that were answered; a store without labels is named as
+    the reason and not scored."""
+    out = score_requests(t)
+    return out.select("store_nbr", "family", "date", "promo",
+                      (F.col("prediction").isNotNull() & F.col("reason").isNull()).alias("known_store"))
+
+
+@query("scenario_run_rows", f"select distinct store_nbr, family, scenario from ({GRID_SQL})")
+def scenario_run_rows(t):
+    """M4: the (store, family, scenario) triples compared."""
+    return scenario_run(t).select("store_nbr", "family", "scenario")
+
+
 @query("scenario_run")
 def scenario_run(t):
     """M4: baseline vs scenario predictions over 7 days for every target and
