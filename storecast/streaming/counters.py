@@ -12,9 +12,14 @@ Three queries share the source, each with its own checkpoint:
   every day and late events still count (source behaviour).  Each trigger
   emits the *absolute* totals of the days it touched; ``foreachBatch``
   overwrites ``batch_id=N`` (a replayed batch rewrites the same folder, so the
-  sink is exactly-once) and readers keep the newest batch per key.  Weekly and
-  monthly counters are rolled up from the days at read time (S9/A1).
-* buffer - the raw valid events as JSON payloads (S10), file sink (exactly-once).
+  sink is exactly-once) and readers keep the newest batch per key.  Every
+  ``snapshot_every`` batches the newest totals are written as one snapshot, so a
+  reader opens one snapshot and the few folders after it.  Weekly and monthly
+  counters are rolled up from the days at read time (S9/A1).
+* buffer - the raw valid events as JSON payloads (S10).  With ``keep`` the buffer
+  is trimmed after each batch to the newest ``keep`` messages (L3): folders below
+  the cut leave the list of live folders, folders above it stay as they are, and
+  only folders the cut falls in are rewritten.
 * rejects - skipped and quarantined events with the reason (poison values do
   not stop the stream).
 """
@@ -29,6 +34,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storecast.functions.calendar import GRAINS, parse_date, period_key
 from storecast.operators import events as ev
+from storecast.operators.ordering import newest_by_key
+
+KEEP = 100_001              # messages the source's buffer holds
+SNAPSHOT_EVERY = 20         # batches from one snapshot of the counters to the next
 
 
 def _sales():
@@ -62,16 +71,118 @@ def daily_totals(events: DataFrame, watermark: str | None = None, dedupe: bool =
     return g.select("family", F.col("w.start").cast("date").alias("day"), "value", "n_events")
 
 
-def _batch_writer(out_dir: str):
+# A commit is one file in a folder ``upto=N``: it appears whole, by the rename that
+# ends its write.  It covers the batches up to N; what it names is written before it.
+
+
+def _commit(rows: DataFrame, folder: str, upto: int) -> None:
+    rows.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, f"upto={upto}"))
+
+
+def _newest_commit(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> tuple[int, DataFrame]:
+    """(N, rows) of the newest commit, of those below ``before`` if given; (-1, no
+    rows) without one.  One row per commit folder at most is read for N."""
+    # An empty append makes the folder exist, so any read error is a real one.
+    spark.createDataFrame([], schema).write.mode("append").parquet(os.path.join(folder, "upto=-1"))
+    rows = spark.read.schema(f"{schema}, upto long").parquet(folder)
+    upto = rows.where(F.col("upto") < before) if before is not None else rows
+    n = upto.agg(F.max("upto")).first()[0]
+    n = -1 if n is None else n
+    return n, rows.where(F.col("upto") == n).drop("upto")
+
+
+def _daily(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("family", "day").agg(F.max_by(F.struct("value", "n_events", "batch_id"), F.col("batch_id")).alias("r")
+                                             ).select("family", "day", "r.*")
+
+
+TOTALS = "family string, day date, value decimal(38,2), n_events long, batch_id long"
+
+
+def _totals(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Counter rows from the newest snapshot and the batch folders after it."""
+    upto, _ = _newest_commit(spark, os.path.join(root, "snapshot_commits"), "n long", before)
+    later = spark.read.schema(TOTALS).parquet(os.path.join(root, "counters")).where(F.col("batch_id") > upto)
+    if upto < 0:
+        return later
+    snapshot = spark.read.schema(TOTALS + ", upto long").parquet(os.path.join(root, "snapshots"))
+    return snapshot.where(F.col("upto") == upto).drop("upto").unionByName(later)
+
+
+def snapshot(spark: SparkSession, root: str, upto: int) -> None:
+    """Write the newest totals of all batches up to ``upto`` and commit them."""
+    rows = _daily(_totals(spark, root, upto).where(F.col("batch_id") <= upto))
+    rows.write.mode("overwrite").parquet(os.path.join(root, "snapshots", f"upto={upto}"))
+    _commit(spark.range(1).select(F.lit(1).cast("long").alias("n")), os.path.join(root, "snapshot_commits"), upto)
+
+
+def _counter_writer(root: str, snapshot_every: int):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(root, "counters", f"batch_id={batch_id}"))
+        if snapshot_every and batch_id % snapshot_every == snapshot_every - 1:
+            snapshot(batch.sparkSession, root, batch_id)
+    return write
+
+
+BUFFER = "msg_id long, payload string"
+
+
+def _live_buffer(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Buffered rows with their folder: (kind, at) is a batch, or the rest of
+    folders cut by an earlier trim."""
+    upto, live = _newest_commit(spark, os.path.join(root, "buffer_commits"), "kind string, at long", before)
+    names = {"batch": [], "cut": []}
+    for r in live.collect():                      # live folders: at most one per batch since the cut
+        names[r["kind"]].append(r["at"])
+    rows = spark.read.schema(BUFFER + ", batch_id long").parquet(os.path.join(root, "buffer"))
+    # Both conditions are on the folder name, so only live folders are opened.
+    rows = rows.where((F.col("batch_id") > upto) | F.col("batch_id").isin(names["batch"])).select(
+        "msg_id", "payload", F.lit("batch").alias("kind"), F.col("batch_id").alias("at"))
+    if before is not None:
+        rows = rows.where(F.col("at") <= before)
+    if names["cut"]:
+        cut = spark.read.schema(BUFFER + ", cut long").parquet(os.path.join(root, "buffer_cut"))
+        rows = rows.unionByName(cut.where(F.col("cut").isin(names["cut"])).select(
+            "msg_id", "payload", F.lit("cut").alias("kind"), F.col("cut").alias("at")))
+    return rows
+
+
+def trim(spark: SparkSession, root: str, keep: int, upto: int) -> None:
+    """L3 on the live buffer: keep the ``keep`` largest message ids of the batches
+    up to ``upto``.  A replayed batch starts from the trim before it."""
+    live = _live_buffer(spark, root, upto)
+    folders = live.groupBy("kind", "at").agg(F.count("*").alias("n"), F.min("msg_id").alias("lo"),
+                                             F.max("msg_id").alias("hi")).collect()     # one row per live folder
+    if sum(f["n"] for f in folders) <= keep:
+        return
+    lowest = newest_by_key(live.select("msg_id"), keep, "msg_id").agg(F.min("msg_id")).first()[0]
+    whole = [f for f in folders if f["lo"] >= lowest]
+    split = [f for f in folders if f["lo"] < lowest <= f["hi"]]
+    rows = [(f["kind"], f["at"]) for f in whole]
+    if split:
+        some = F.lit(False)
+        for f in split:
+            some = some | ((F.col("kind") == f["kind"]) & (F.col("at") == f["at"]))
+        live.where(some & (F.col("msg_id") >= lowest)).select("msg_id", "payload").write.mode("overwrite").parquet(
+            os.path.join(root, "buffer_cut", f"cut={upto}"))
+        rows.append(("cut", upto))
+    _commit(spark.createDataFrame(rows, "kind string, at long"), os.path.join(root, "buffer_commits"), upto)
+
+
+def _buffer_writer(root: str, keep: int | None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        batch.select("msg_id", "payload").write.mode("overwrite").parquet(
+            os.path.join(root, "buffer", f"batch_id={batch_id}"))
+        if keep is not None:
+            trim(batch.sparkSession, root, keep, batch_id)
     return write
 
 
 def start(spark: SparkSession, source_dir: str, root: str, watermark: str | None = None,
-          dedupe: bool = False, max_files: int | None = None,
-          available_now: bool = True) -> list[StreamingQuery]:
-    """Start the three queries; results and checkpoints live under ``root``."""
+          dedupe: bool = False, max_files: int | None = None, available_now: bool = True,
+          keep: int | None = None, snapshot_every: int = SNAPSHOT_EVERY) -> list[StreamingQuery]:
+    """Start the three queries; results and checkpoints live under ``root``.
+    ``keep``: messages the buffer holds at most (None: all)."""
     src = read_events(spark, source_dir, max_files)
     ck = os.path.join(root, "_checkpoints")
 
@@ -81,11 +192,11 @@ def start(spark: SparkSession, source_dir: str, root: str, watermark: str | None
     counters = trig(daily_totals(src, watermark, dedupe).writeStream
                     .outputMode("update")
                     .option("checkpointLocation", os.path.join(ck, "counters"))
-                    .foreachBatch(_batch_writer(os.path.join(root, "counters")))).start()
+                    .foreachBatch(_counter_writer(root, snapshot_every))).start()
     buffer = trig(ev.to_payload(ev.valid_events(src)).writeStream
-                  .format("parquet").outputMode("append")
+                  .outputMode("append")
                   .option("checkpointLocation", os.path.join(ck, "buffer"))
-                  .option("path", os.path.join(root, "buffer"))).start()
+                  .foreachBatch(_buffer_writer(root, keep))).start()
     rejects = trig(ev.rejected_events(src).writeStream
                    .format("parquet").outputMode("append")
                    .option("checkpointLocation", os.path.join(ck, "rejects"))
@@ -102,11 +213,8 @@ def run_once(spark: SparkSession, source_dir: str, root: str, **kw) -> None:
 
 
 def read_daily(spark: SparkSession, root: str) -> DataFrame:
-    """Newest total per (family, day) across all batch folders."""
-    raw = spark.read.parquet(os.path.join(root, "counters"))
-    return raw.groupBy("family", "day").agg(
-        F.max_by(F.struct("value", "n_events"), F.col("batch_id")).alias("r")
-    ).select("family", "day", "r.value", "r.n_events")
+    """Newest total per (family, day): the last snapshot and the folders after it."""
+    return _daily(_totals(spark, root)).drop("batch_id")
 
 
 def rollup(daily: DataFrame) -> DataFrame:
@@ -123,7 +231,8 @@ def read_counters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_buffer(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("msg_id long, payload string").parquet(os.path.join(root, "buffer"))
+    """The live buffer."""
+    return _live_buffer(spark, root).select("msg_id", "payload")
 
 
 def drain_buffer(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
