@@ -36,23 +36,27 @@ def _keep_newest(df: DataFrame, n: int, group: Column, order: Sequence[Column])
     """The ``n`` rows with the largest ``group``, ties inside a group taken in
     ``order``.  Counts per group (few rows) tell which group the cut falls in:
     rows above it are kept unsorted, and only that group's rows are ranked.
-    Rows whose group is null are never among the newest."""
-    grouped = df.withColumn("_g", group).where(F.col("_g").isNotNull())
+    A null group comes after all others: its rows are taken only when the rest
+    are fewer than ``n``."""
+    grouped = df.withColumn("_g", group)
     counts = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
-    above = Window.orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy(F.col("_g").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     cut = (counts.select("_g", "_c", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_above"))
-                 .where(F.col("_above") < n).orderBy("_g").limit(1).collect())
+                 .where(F.col("_above") < n).orderBy(F.col("_g").asc_nulls_first()).limit(1).collect())
     if not cut:
         return df.where(F.lit(False))
     edge, size, left = cut[0]["_g"], cut[0]["_c"], n - cut[0]["_above"]
+    at_edge = F.col("_g").eqNullSafe(F.lit(edge))
+    higher = F.col("_g").isNotNull() if edge is None else F.col("_g") > F.lit(edge)
     if size <= left:
-        return grouped.where(F.col("_g") >= F.lit(edge)).drop("_g")
-    ranked = global_index(grouped.where(F.col("_g") == F.lit(edge)), order, "_pos").where(F.col("_pos") < left)
-    return grouped.where(F.col("_g") > F.lit(edge)).drop("_g").unionByName(ranked.drop("_g", "_pos"))
+        return grouped.where(at_edge | higher).drop("_g")
+    ranked = global_index(grouped.where(at_edge), order, "_pos").where(F.col("_pos") < left)
+    return grouped.where(higher).drop("_g").unionByName(ranked.drop("_g", "_pos"))
 
 
 def newest_rows(df: DataFrame, n: int, date_col: str, tie_cols: Sequence[str]) -> DataFrame:
-    """L1: the ``n`` newest rows by (date, ties) descending, in no order."""
+    """L1: the ``n`` newest rows by (date, ties) descending, in no order; rows
+    without a date come last."""
     return _keep_newest(df, n, F.col(date_col), [F.col(c).desc() for c in tie_cols])
 
 
@@ -67,11 +71,12 @@ def latest_n(df: DataFrame, n: int, date_col: str, tie_cols: Sequence[str]) -> D
 
 
 def newest_by_key(df: DataFrame, keep: int, key_col: str, ranges: int = 4096) -> DataFrame:
-    """L3: the ``keep`` rows with the largest ``key_col`` (unique integer key).
-    The key's span is cut into ``ranges`` equal ranges for the counts."""
+    """L3: the ``keep`` rows with the largest ``key_col`` (unique integer key;
+    rows without one come last, in no set order among themselves).  The key's span
+    is cut into ``ranges`` equal ranges for the counts."""
     lo, hi = df.agg(F.min(key_col), F.max(key_col)).first()
     if lo is None:
-        return df
+        lo = hi = 0
     width = (hi - lo) // ranges + 1
     return _keep_newest(df, keep, F.floor((F.col(key_col) - F.lit(lo)) / F.lit(width)), [F.col(key_col).desc()])
 
