@@ -43,4 +43,4 @@ def query(key: str, sql: str | None = None, extra: str = ""):
 def load_all() -> None:
     """Import every module that registers queries."""
     from storecast.plans import (  # noqa: F401
-        q_events, q_features, q_models, q_records, q_report, q_search, q_stream)
+        q_events, q_features, q_files, q_models, q_records, q_report, q_search, q_stream)

@@ -13,6 +13,7 @@ from storecast.operators.events import decode_payload
 from storecast.sources import fixtures as fx
 from storecast.sources.tables import Tables
 
+# The model's features and their order.
 FEATURES = ("store_nbr", "family_encoded", "onpromotion", "transactions", "dcoilwtico",
             "is_holiday", "city_encoded", "state_encoded", "type_encoded", "day_of_week",
             "month", "year", "day_of_month")

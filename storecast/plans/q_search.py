@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from storecast.functions.vectors import cosine
+from storecast.operators.joins import broadcast_if_small
 from storecast.plans import search as se
 from storecast.plans.catalog import query
 from storecast.sources import fixtures as fx
@@ -21,10 +22,11 @@ scored as (select q.qid, i.id, i.text, i.store_nbr, i.family,
                   case when list_cosine_similarity(cast(q.qvec as double[]), cast(i."values" as double[])) = 'nan'::double
                        then 0 else list_cosine_similarity(cast(q.qvec as double[]), cast(i."values" as double[])) end score
            from qf q join idx i on (q.f_store is null or i.store_nbr = q.f_store)
-                              and (q.f_date is null or i.date_str = q.f_date)),
+                              and (q.f_date is null or i.date_str = q.f_date)
+           where q.qvec is not null),
 found as (select * from (select *, row_number() over (partition by qid order by score desc, id) rank from scored)
           where rank <= 30),
-nomatch as (select * from qf where (f_store is not null or f_date is not null)
+nomatch as (select * from qf where qvec is not null and (f_store is not null or f_date is not null)
                                 and qid not in (select qid from found)),
 fb as (select * from (select *, row_number() over (partition by qid order by score desc, id) rank
                       from (select e.qid, i.id, i.text, i.store_nbr, i.family,
@@ -47,6 +49,7 @@ ctx as (select q.qid, q.text, count(*) n_found,
                                        || f.text || chr(10) || chr(10) end, '' order by f.rank), '') context
         from qf q join found f using (qid) join ftext ft using (qid) group by q.qid, q.text, ft.filters)"""
 
+# The prompt's text, as in ``search.PROMPT_HEAD`` and ``PROMPT_INSTRUCTIONS``.
 PROMPT_SQL = ("'You are an expert Retail Data Analyst with access to a comprehensive sales database.' || chr(10) || chr(10)"
               " || 'RETRIEVED DATA:' || chr(10) || context || chr(10) || chr(10) || 'USER QUESTION: ' || text"
               " || chr(10) || chr(10) || 'INSTRUCTIONS:' || chr(10)"
@@ -83,7 +86,8 @@ def cosine_scores(t):
     cent = (v.select("family", array_to_vector("values").alias("_v")).groupBy("family")
              .agg(Summarizer.mean(F.col("_v")).alias("_m"))
              .select("family", vector_to_array("_m").alias("centroid")))
-    j = v.join(cent, "family")
+    # One row per family; broadcast when its counted size is small, so vectors stay where they are.
+    j = v.join(broadcast_if_small(cent.checkpoint(eager=True)), "family")
     return j.select("id", "family", F.round(cosine(F.col("values"), F.col("centroid")), 6).alias("score"))
 
 
@@ -91,7 +95,7 @@ def cosine_scores(t):
 select qid, id, round(score, 6) score, rank from (
   select *, row_number() over (partition by qid order by score desc, id) rank from (
     select q.qid, i.id, list_cosine_similarity(cast(q.qvec as double[]), cast(i."values" as double[])) score
-    from qf q, idx i)) where rank <= 5""", extra=SEARCH_CTES)
+    from qf q, idx i where q.qvec is not null)) where rank <= 5""", extra=SEARCH_CTES)
 def topk_search(t):
     """L4/M8: unfiltered top-5 matches of every question."""
     r = se.search_unfiltered(fx.r_question_vectors(t), fx.r_vectors(t), k=se.TOP_DEFAULT)
@@ -149,8 +153,19 @@ select s.qid, cast(null as varchar),
        || '), but I found similar data. Try asking about stores ['
        || array_to_string(list_transform(s.stores, x -> cast(x as varchar)), ', ')
        || '] or product families like ' || array_to_string(s.families, ', ') || '.'
-from sugg s join ftext ft using (qid)""".replace("x -> cast", "lambda x: cast"), extra=SEARCH_CTES)
+from sugg s join ftext ft using (qid)
+union all
+select qid, cast(null as varchar), 'I couldn''t find any relevant records for your question'
+       || coalesce(' with filters: ' || filters, '') || '. Try rephrasing or asking about a different topic.'
+from ftext where qid not in (select qid from ctx) and qid not in (select qid from sugg)""".replace("x -> cast", "lambda x: cast"), extra=SEARCH_CTES)
 def prompt_table(t):
     """Per question, the model prompt, or the fallback answer when the
     filtered search is empty."""
     return se.answer_table(fx.r_question_vectors(t), fx.r_vectors(t))
+
+
+@query("questions_answered", "select qid, true answered from r_questions")
+def questions_answered(t):
+    """Every question has a prompt or a message, with or without a vector."""
+    a = se.answer_table(fx.r_question_vectors(t), fx.r_vectors(t))
+    return a.select("qid", (F.col("prompt").isNotNull() | F.col("message").isNotNull()).alias("answered"))

@@ -86,7 +86,7 @@ def upsert(index: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     seq = F.struct(F.col(order_col).cast("bigint"), F.xxhash64(*cols))
     latest = (batch.select(*cols, seq.alias("_seq")).groupBy("id")
                    .agg(F.max_by(F.struct(*cols), F.col("_seq")).alias("_r"))
-                   .select("_r.*"))
+                   .select("_r.*").checkpoint(eager=True))       # read by the size check and by both sides
     ids = joins.broadcast_if_small(latest.select("id"))
     kept = index.join(ids, "id", "left_anti")
     return kept.select(*cols).unionByName(latest.select(*cols))
@@ -108,3 +108,47 @@ def index_stats(index: DataFrame, capacity: int = INDEX_CAPACITY) -> DataFrame:
 def write_index(index: DataFrame, path: str) -> None:
     """Persist an index version (a new folder per version; never in place)."""
     index.write.mode("overwrite").parquet(path)
+
+
+# -- the bucketed store ------------------------------------------------------------
+
+BUCKETS = 256          # folders of a store; an upsert rewrites only those it touches
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def create_store(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """An index as one folder per hash bucket of the id.  One shuffle puts a
+    bucket's rows together, so each folder holds one file."""
+    (index.withColumn("bucket", _bucket(buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def read_store(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def upsert_store(spark, path: str, batch: DataFrame, order_col: str, staging: str,
+                 buckets: int = BUCKETS) -> list[int]:
+    """Upsert ``batch`` into the store at ``path``: only the buckets of its ids are
+    read and rewritten (dynamic partition overwrite); the files of all others stay.
+    The merged buckets are written to ``staging`` first, so an upsert that fails
+    half-way is repeated with the same result.  Returns the buckets rewritten."""
+    touched = sorted(r[0] for r in batch.select(_bucket(buckets)).distinct().collect())     # at most ``buckets``
+    if not touched:
+        return []
+    stored = spark.read.parquet(path)
+    old = stored.where(F.col("bucket").isin(touched)).drop("bucket")
+    merged = upsert(old, batch.select(*old.columns), order_col).withColumn("bucket", _bucket(buckets))
+    merged.repartition("bucket").write.mode("overwrite").parquet(staging)
+    (spark.read.schema(merged.schema).parquet(staging).repartition("bucket").write
+     .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    return touched
+
+
+def delete_store(spark, path: str) -> None:
+    """All rows out, schema and layout kept."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -30,6 +30,11 @@ PROMPT_INSTRUCTIONS = (
     "6. Format numbers with commas (e.g., $1,234.56).\n\n"
     "ANSWER:\n")
 
+FILTERS_LABEL, FOUND_LABEL, FOUND_TAIL = "Filters applied: ", "Found ", " relevant records:\n\n"
+FALLBACK_HEAD = "I couldn't find records matching your exact filters ("
+FALLBACK_STORES = "), but I found similar data. Try asking about stores "
+FALLBACK_FAMILIES = " or product families like "
+
 FILTERS = (("f_store", "store_nbr"), ("f_date", "date_str"))
 CARRY = ("text", "store_nbr", "family")
 
@@ -45,14 +50,20 @@ def searchable(index: DataFrame) -> DataFrame:
                         F.col("date").cast("string").alias("date_str"))
 
 
+def _with_records(matches: DataFrame, index: DataFrame) -> DataFrame:
+    """The matched records' columns.  Cells score ids and vectors only, and the
+    matches (at most k a question) fetch their records afterwards."""
+    return matches.select("qid", "id", "score", "rank").join(searchable(index).select("id", *CARRY), "id")
+
+
 def retrieve(questions: DataFrame, index: DataFrame, k: int = TOP_FILTERED) -> DataFrame:
     """Per question, top-k with its filters (if any)."""
     q = with_filters(questions).select("qid", "qvec", "f_store", "f_date")
-    return topk(q, searchable(index), k, filters=FILTERS, carry=CARRY)
+    return _with_records(topk(q, searchable(index), k, filters=FILTERS), index)
 
 
 def search_unfiltered(questions: DataFrame, index: DataFrame, k: int = TOP_DEFAULT) -> DataFrame:
-    return topk(questions.select("qid", "qvec"), searchable(index), k, carry=CARRY)
+    return _with_records(topk(questions.select("qid", "qvec"), searchable(index), k), index)
 
 
 def fallback(questions: DataFrame, index: DataFrame, found: DataFrame,
@@ -85,9 +96,9 @@ def context(found: DataFrame, questions: DataFrame) -> DataFrame:
     q = with_filters(questions).select("qid", "text", "f_store", "f_date")
     ft = filters_text(F.col("f_store"), F.col("f_date"))
     ctx = F.concat(F.lit(CONTEXT_HEADER),
-                   F.when(ft.isNotNull(), F.concat(F.lit("Filters applied: "), ft, F.lit("\n\n")))
+                   F.when(ft.isNotNull(), F.concat(F.lit(FILTERS_LABEL), ft, F.lit("\n\n")))
                     .otherwise(F.lit("")),
-                   F.lit("Found "), F.col("n_found").cast("string"), F.lit(" relevant records:\n\n"), body)
+                   F.lit(FOUND_LABEL), F.col("n_found").cast("string"), F.lit(FOUND_TAIL), body)
     return q.join(per_q, "qid").select("qid", "text", "n_found", ctx.alias("context"))
 
 
@@ -104,10 +115,10 @@ def fallback_message(questions: DataFrame, sugg: DataFrame) -> DataFrame:
     stores = F.concat(F.lit("["), F.array_join(F.transform("stores", lambda s: s.cast("string")), ", "),
                       F.lit("]"))
     msg = F.concat(
-        F.lit("I couldn't find records matching your exact filters ("),
+        F.lit(FALLBACK_HEAD),
         filters_text(F.col("f_store"), F.col("f_date")),
-        F.lit("), but I found similar data. Try asking about stores "), stores,
-        F.lit(" or product families like "), F.array_join("families", ", "), F.lit("."))
+        F.lit(FALLBACK_STORES), stores,
+        F.lit(FALLBACK_FAMILIES), F.array_join("families", ", "), F.lit("."))
     return j.select("qid", msg.alias("message"))
 
 

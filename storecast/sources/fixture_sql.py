@@ -107,7 +107,7 @@ from conversations where role = 'user'"""
 
 VIEWS["r_question_vectors"] = """
 select q.qid, q.text, e.embedding qvec
-from r_questions q join embeddings e on q.conv_id = e.vec_id"""
+from r_questions q left join embeddings e on q.conv_id = e.vec_id"""
 
 VIEWS["r_requests"] = """
 select distinct store_nbr, family, cast(date + interval 7 day as date) date,

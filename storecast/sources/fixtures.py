@@ -173,10 +173,11 @@ def r_questions(t: Tables) -> DataFrame:
 
 def r_question_vectors(t: Tables) -> DataFrame:
     """Questions with a query vector.  The test vectors are not text embeddings,
-    so each conversation takes the ``embeddings`` row with ``vec_id = conv_id``."""
+    so each conversation takes the ``embeddings`` row with ``vec_id = conv_id``; a
+    question without one keeps its row with a null vector."""
     q = r_questions(t)
     e = t.embeddings.select(F.col("vec_id"), F.col("embedding").alias("qvec"))
-    return q.join(e, q.conv_id == e.vec_id).select("qid", "text", "qvec")
+    return q.join(e, q.conv_id == e.vec_id, "left").select("qid", "text", "qvec")
 
 
 def r_requests(t: Tables) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storecast.functions.calendar import GRAINS, parse_date, period_key
 from storecast.operators import events as ev
-from storecast.operators.ordering import newest_by_key
+from storecast.operators.ordering import global_index, newest_by_key
 
 KEEP = 100_001              # messages the source's buffer holds
 SNAPSHOT_EVERY = 20         # batches from one snapshot of the counters to the next
@@ -49,6 +49,31 @@ def append_events(wire: DataFrame, source_dir: str) -> None:
     wire.select(*[f.name for f in ev.WIRE_SCHEMA.fields]).write.mode("append").parquet(source_dir)
 
 
+def append_assigned(spark: SparkSession, events: DataFrame, source_dir: str, order: list[str]) -> tuple[int, int]:
+    """S5 with ids handed out here: the events (without ``msg_id``), in ``order``,
+    get the next gap-free ascending ids.  Returns the first and the last + 1.
+
+    The numbered rows are one append, and the commit that names the next free id
+    is one file renamed into place.  The next append starts from what is really in
+    the folder or the commit, whichever is higher, so an append that died between
+    the two hands out no id twice; a retried task writes the same rows again.  One
+    writer at a time: of two that race, the slower fails on the existing commit."""
+    commits = os.path.join(source_dir, "_ids")
+    n, rows = _newest_commit(spark, commits, "next long")
+    first = 0 if n < 0 else rows.first()["next"]
+    names = [f.name for f in ev.WIRE_SCHEMA.fields if f.name != "msg_id"]
+    spark.createDataFrame([], ev.WIRE_SCHEMA).write.mode("append").parquet(source_dir)
+    there = spark.read.schema(ev.WIRE_SCHEMA).parquet(source_dir).agg(F.max("msg_id")).first()[0]
+    first = max(first, 0 if there is None else there + 1)
+    numbered = global_index(events.select(*names), [F.col(c).asc() for c in order]).select(
+        (F.col("idx") + F.lit(first)).cast("long").alias("msg_id"), *names).checkpoint(eager=True)
+    count = numbered.count()
+    numbered.write.mode("append").parquet(source_dir)
+    spark.range(1).select(F.lit(first + count).cast("long").alias("next")).coalesce(1).write.mode("error").parquet(
+        os.path.join(commits, f"upto={n + 1}"))
+    return first, first + count
+
+
 def read_events(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
     """The event stream; ``max_files`` bounds one micro-batch."""
     r = spark.readStream.schema(ev.WIRE_SCHEMA)
