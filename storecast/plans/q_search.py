@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from storecast.functions.vectors import cosine
+from storecast.operators import cellindex as ci
 from storecast.operators.joins import broadcast_if_small
 from storecast.plans import search as se
 from storecast.plans.catalog import query
+from storecast.session import work_path
 from storecast.sources import fixtures as fx
 
 SEARCH_CTES = r"""
@@ -164,6 +168,39 @@ def prompt_table(t):
     return se.answer_table(fx.r_question_vectors(t), fx.r_vectors(t))
 
 
+CELLS = 16
+
+
+def _cell_index(t) -> ci.CellIndex:
+    v = fx.r_vectors(t).select("id", "values")
+    return ci.build(v, ci.fit_centroids(v, CELLS), work_path(t.spark, "cells", uuid.uuid4().hex))
+
+
+@query("topk_index", """
+select qid, id, round(score, 6) score, rank from (
+  select *, row_number() over (partition by qid order by score desc, id) rank from (
+    select q.qid, i.id, list_cosine_similarity(cast(q.qvec as double[]), cast(i."values" as double[])) score
+    from qf q, idx i where q.qvec is not null)) where rank <= 5""", extra=SEARCH_CTES)
+def topk_index(t):
+    """L4/M8: the same top-5 from the pruned cell index."""
+    found, _ = ci.search(_cell_index(t), fx.r_question_vectors(t).select("qid", "qvec"), se.TOP_DEFAULT)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("topk_probes", """
+select count(*) n, true enough from (
+  select q.qid, row_number() over (partition by q.qid order by i.id) rank from qf q, idx i where q.qvec is not null)
+where rank <= 5""", extra=SEARCH_CTES)
+def topk_probes(t):
+    """M8: the approximate search with as many probes as a recall of 0.9 needs,
+    measured against the exact search of every question."""
+    index, q = _cell_index(t), fx.r_question_vectors(t).select("qid", "qvec")
+    exact = ci.search(index, q, se.TOP_DEFAULT)[0].checkpoint(eager=True)
+    probes, _ = ci.choose_probes(index, q, exact, se.TOP_DEFAULT)
+    r = ci.recall(exact, ci.probe_search(index, q, se.TOP_DEFAULT, probes))
+    return r.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("questions_answered", "select qid, true answered from r_questions")
 def questions_answered(t):
     """Every question has a prompt or a message, with or without a vector."""
