@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storecast.models import boost, trees, trend
+from storecast.models import boost, changepoints, trees, trend
 from storecast.operators import encode, joins
 from storecast.operators import scenario as sc
 from storecast.plans import features as ft
@@ -252,3 +252,27 @@ def trend_forecast(t):
     coefs = trend.fit(s)
     rows = trend.future_frame(s, FORECAST_DAYS, by="series")
     return trend.predict(rows, coefs)
+
+
+@query("trend_changes", f"""
+select series, count(*) n_obs, true at_minimum, true sparse from days where ds < date '{ft.SPLIT_DATE}' group by series""",
+       extra=SERIES_DAYS)
+def trend_changes(t):
+    """M5: sparse trend changes per series; whether the coefficients satisfy the
+    conditions of the penalised minimum, and leave possible changes unused."""
+    s = series_frame(t).where(F.col("ds") < F.lit(ft.SPLIT_DATE).cast("date"))
+    return changepoints.fit(s).select("series", "n_obs", (F.col("slack") < 1e-6).alias("at_minimum"),
+                                      (F.col("n_changes") < trend.N_HINGES).alias("sparse"))
+
+
+@query("trend_intervals", f"""
+select series, ds, true inside from days
+union all
+select series, cast(d0 + cast(i as integer) as date), true from (select series, max(ds) d0 from days group by series),
+       range(1, {FORECAST_DAYS + 1}) r(i)""", extra=SERIES_DAYS)
+def trend_intervals(t):
+    """M6: history and 30 days ahead with intervals from simulated slope changes."""
+    s = series_frame(t)
+    rows = trend.future_frame(s, FORECAST_DAYS, by="series")
+    p = changepoints.predict(rows, changepoints.fit(s))
+    return p.select("series", "ds", ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("inside"))
