@@ -160,9 +160,11 @@ def _live_buffer(spark: SparkSession, root: str, before: int | None = None) -> D
     for r in live.collect():                      # live folders: at most one per batch since the cut
         names[r["kind"]].append(r["at"])
     rows = spark.read.schema(BUFFER + ", batch_id long").parquet(os.path.join(root, "buffer"))
-    # Both conditions are on the folder name, so only live folders are opened.
-    rows = rows.where((F.col("batch_id") > upto) | F.col("batch_id").isin(names["batch"])).select(
-        "msg_id", "payload", F.lit("batch").alias("kind"), F.col("batch_id").alias("at"))
+    # Conditions on the folder name only, so only live folders are opened.  Files
+    # outside a batch folder count as a batch before the first.
+    at = F.coalesce(F.col("batch_id"), F.lit(-1).cast("long"))
+    live_at = (at > upto) | at.isin(names["batch"]) if upto >= 0 else F.lit(True)
+    rows = rows.where(live_at).select("msg_id", "payload", F.lit("batch").alias("kind"), at.alias("at"))
     if before is not None:
         rows = rows.where(F.col("at") <= before)
     if names["cut"]:
