@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -119,39 +119,76 @@ def _sql_escape(col: str) -> str:
     return out
 
 
+# The attachment that a user turn of the query gets, by (conv_id + turn) mod 4, from
+# its number of characters n: an image, audio, a document by reference, a document
+# that holds an image and audio.  SQL counts of tokens and placeholder characters.
+_KIND = "CASE WHEN role = 'user' THEN ((conv_id + turn) % 4 + 4) % 4 END"
+_N = "length(text)"
+_PLACES = {k: len(f"<|{k}|>") for k in (*chat.KINDS, "/document")}
+_DOC_CHARS = _PLACES["document"] + _PLACES["/document"]
+
 OP6_SQL = f"""
-WITH c AS (
+WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+c AS (
+  SELECT *,
+         CASE {_KIND} WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 0 END AS placed,
+         CASE {_KIND} WHEN 0 THEN {_PLACES["image"]} WHEN 1 THEN {_PLACES["audio"]} WHEN 2 THEN {_DOC_CHARS}
+              WHEN 3 THEN {_DOC_CHARS + _PLACES["image"] + _PLACES["audio"]} ELSE 0 END AS place_chars,
+         CASE {_KIND} WHEN 0 THEN greatest(1, (({_N} + 27) // 28) * (1 + turn))
+              WHEN 1 THEN greatest(1, (((125 * {_N}) // 2) * 25 + 999) // 1000)
+              WHEN 2 THEN 600 * (1 + {_N} // 1000)
+              WHEN 3 THEN greatest(1, (({_N} + 27) // 28) * 2) + 25 * (1 + turn) ELSE 0 END AS tokens
+  FROM r)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        ({len(chat.START)} + sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_sql_escape('role')})
-         + length({_sql_escape('text')})
+         + length({_sql_escape('text')}) + place_chars
          + CASE WHEN role = 'user' THEN {len(chat.ASK + chat.ASKED)} ELSE 0 END))::BIGINT AS formatted_chars,
-       0::BIGINT AS attachment_tokens
+       sum(placed)::BIGINT AS n_attachments, sum(tokens)::BIGINT AS attachment_tokens
 FROM c GROUP BY conv_id
 """
 
 
+def typed_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with a content: the row's text, and after it, for user turns, an
+    attachment of each kind in turn with sizes taken from the row."""
+    n, turn = F.length(F.coalesce("text", F.lit(""))), F.col("turn")
+    ref = F.concat_ws("/", F.lit("conv"), "conv_id", "turn")
+
+    def part(kind: str, **sizes) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("type"), ref.alias("ref"), *[v.alias(k) for k, v in sizes.items()]))
+
+    def listed(*parts) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+    inner = listed(part("image", width=n, height=F.lit(56)), part("audio", seconds=1 + turn))
+    attachments = [
+        part("image", width=n, height=28 * (1 + turn)),
+        part("audio", seconds=n / 16),
+        part("document", pages=1 + F.floor(n / 1000)),
+        F.concat(F.regexp_replace(part("document"), "}$", ""), F.lit(',"parts":'), inner, F.lit("}")),
+    ]
+    kind = F.pmod(F.col("conv_id") + turn, F.lit(len(attachments)))
+    own = F.lit('{"type":"text"}')                   # the row's text, not copied
+    content = F.when((F.col("role") == "user") & kind.isNotNull(), F.coalesce(
+        *[F.when(kind == k, listed(own, a)) for k, a in enumerate(attachments)]))
+    return rows.withColumn("content", content)
+
+
 @query("op6_chat_format", OP6_SQL)
 def op6(table):
-    """Conversations formatted and read back from the output, as digests."""
+    """Conversations with typed parts formatted by turns and read back from the
+    output, as digests."""
     rows = table("conversations").select("conv_id", "turn", "role", "text")
     spark = rows.sparkSession
     probe = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame(
         [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
-    made = chat.format_chats(rows)
-    back = chat.read_chats(made)
-    loss = F.array_join("loss_texts", "")
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), "formatted_chars",
-        "attachment_tokens")
+    return chat.conversation_digests(chat.format_turns(typed_parts(rows)))
 
 
 OP7_SQL = """
