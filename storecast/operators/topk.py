@@ -123,11 +123,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int,
     corpus: ``id`` (string), ``values`` (array) and the filtered columns.
     filters: ``(query column, corpus column)`` equality filters, ANDed; null
     in the query means no filter.  The first filter present routes the query.
-    A query without a vector has no matches.
+    A query without a vector has no matches; a corpus row without one is no match.
     Returns ``qid, id, score, rank, *carry`` with rank 1..k.
     """
     fcols = [c for _, c in filters]
-    rc = route_corpus(corpus.select("id", "values", *dict.fromkeys([*fcols, *carry])), fcols)
+    rc = route_corpus(corpus.where(F.col("values").isNotNull()).select("id", "values", *dict.fromkeys([*fcols, *carry])), fcols)
     rq = route_queries(queries.where(F.col("qvec").isNotNull()).select("qid", "qvec", *[q for q, _ in filters]), list(filters))
 
     key = ["rkind", "rval"]

@@ -149,7 +149,7 @@ def search_context(t):
     return se.context(found, qv).select("qid", "n_found", "context")
 
 
-@query("prompt_table", f"""
+ANSWER_SQL = f"""
 select qid, {PROMPT_SQL} prompt, cast(null as varchar) message from ctx
 union all
 select s.qid, cast(null as varchar),
@@ -161,13 +161,52 @@ from sugg s join ftext ft using (qid)
 union all
 select qid, cast(null as varchar), 'I couldn''t find any relevant records for your question'
        || coalesce(' with filters: ' || filters, '') || '. Try rephrasing or asking about a different topic.'
-from ftext where qid not in (select qid from ctx) and qid not in (select qid from sugg)""".replace("x -> cast", "lambda x: cast"), extra=SEARCH_CTES)
+from ftext where qid not in (select qid from ctx) and qid not in (select qid from sugg)""".replace("x -> cast", "lambda x: cast")
+
+
+@query("prompt_table", ANSWER_SQL, extra=SEARCH_CTES)
 def prompt_table(t):
     """Per question, the model prompt, or the fallback answer when the
     filtered search is empty."""
     return se.answer_table(fx.r_question_vectors(t), fx.r_vectors(t))
 
 
+def _one_sql(shape: int) -> str:
+    return f"""select * from ({ANSWER_SQL}) where qid = (
+  select min(qid) from r_question_vectors where qvec is not null and qid // 1000 % 4 = {shape})"""
+
+
+def _answer_one(t, shape: int):
+    """One stored question (the first of a kind, see ``fixtures.r_questions``)
+    against a stored copy of the whole index."""
+    kind = F.floor(F.col("qid") / 1000) % 4
+    q = (fx.r_question_vectors(t).where(F.col("qvec").isNotNull() & (kind == shape)).orderBy("qid").limit(1).collect())
+    path = work_path(t.spark, "answer-index", uuid.uuid4().hex)
+    fx.r_vectors(t).write.parquet(path)
+    index = t.spark.read.parquet(path)
+    if not q:
+        return t.spark.createDataFrame([], "qid long, prompt string, message string")
+    return se.answer_one(index, q[0].qid, q[0].text, q[0].qvec)
+
+
+@query("answer_one", _one_sql(3), extra=SEARCH_CTES)
+def answer_one(t):
+    """The answer to a single question without filters."""
+    return _answer_one(t, 3)
+
+
+@query("answer_one_store", _one_sql(0), extra=SEARCH_CTES)
+def answer_one_store(t):
+    """The answer to a single question about a store."""
+    return _answer_one(t, 0)
+
+
+@query("answer_one_day", _one_sql(1), extra=SEARCH_CTES)
+def answer_one_day(t):
+    """The answer to a single question about a day."""
+    return _answer_one(t, 1)
+
+
 CELLS = 16
 
 

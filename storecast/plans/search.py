@@ -3,10 +3,14 @@ and prompt text, all as batch jobs over a question table."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storecast.functions.text import filters_text, question_date, question_store
+from storecast.functions.vectors import cosine
 from storecast.operators.topk import topk
 
 TOP_FILTERED = 30      # retrieved per question (source value)
@@ -151,3 +155,58 @@ def answer_table(questions: DataFrame, index: DataFrame) -> DataFrame:
             .select("qid", F.lit(None).cast("string").alias("prompt"),
                     no_records_text(F.col("f_store"), F.col("f_date")).alias("message")))
     return prompts.unionByName(msgs).unionByName(rest)
+
+
+# -- one question at a time ------------------------------------------------------------
+
+ONE_FOUND = pa.schema([("qid", pa.int64()), ("id", pa.string()), ("score", pa.float64()), ("rank", pa.int32()),
+                       ("text", pa.string()), ("store_nbr", pa.int32()), ("family", pa.string())])
+
+
+def search_one(index: DataFrame, qvec: Sequence[float], k: int, store: int | None = None,
+               date: str | None = None) -> list[dict]:
+    """The top ``k`` records for one vector, ties by id: at most k rows.
+
+    The filters are literals, so they reach the scan of a stored index.  The first
+    pass reads id, vector and filter columns and keeps k rows per task; the second
+    reads the other columns of the k winners, its list of ids pushed to the scan.
+    Nothing is shuffled.  A null vector in the index is no match."""
+    rows = index.where(F.col("values").isNotNull())
+    if store is not None:
+        rows = rows.where(F.col("store_nbr") == F.lit(store))
+    if date is not None:
+        rows = rows.where(F.col("date") == F.lit(date).try_cast("date"))
+    score = cosine(F.col("values"), F.lit([float(x) for x in qvec]))
+    best = rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k).collect()
+    if not best:
+        return []
+    records = {r.id: r for r in index.where(F.col("id").isin([r.id for r in best]))
+               .select("id", "text", F.col("store_nbr").cast("int").alias("store_nbr"), "family").collect()}
+    return [{"id": r.id, "score": r.score, "rank": i, "text": records[r.id].text,
+             "store_nbr": records[r.id].store_nbr, "family": records[r.id].family} for i, r in enumerate(best, 1)]
+
+
+def answer_one(index: DataFrame, qid: int, text: str, qvec: Sequence[float] | None) -> DataFrame:
+    """``answer_table`` for a single question (one row: qid, prompt, message), by two
+    narrow scans of the index and no shuffle of it; with filters that match nothing,
+    two more scans for the fallback.  The texts are written by the same functions, on
+    at most ``TOP_FILTERED`` rows."""
+    spark = index.sparkSession
+    # Arrow tables of a few rows become local relations: no job and no Python worker.
+    question = spark.createDataFrame(pa.table({"qid": pa.array([qid], pa.int64()), "text": [text]}))
+    parsed = with_filters(question).first()
+    null = F.lit(None).cast("string")
+
+    def matches(rows: list[dict]) -> DataFrame:
+        return spark.createDataFrame(pa.Table.from_pylist([{"qid": qid, **r} for r in rows], schema=ONE_FOUND))
+
+    filtered = parsed.f_store is not None or parsed.f_date is not None
+    found = [] if qvec is None else search_one(index, qvec, TOP_FILTERED, parsed.f_store, parsed.f_date)
+    if found:
+        return context(matches(found), question).select(
+            "qid", prompt_text(F.col("context"), F.col("text")).alias("prompt"), null.alias("message"))
+    similar = search_one(index, qvec, TOP_FALLBACK) if filtered and qvec is not None else []
+    if similar:
+        return fallback_message(question, suggestions(matches(similar))).select("qid", null.alias("prompt"), "message")
+    return with_filters(question).select(
+        "qid", null.alias("prompt"), no_records_text(F.col("f_store"), F.col("f_date")).alias("message"))
