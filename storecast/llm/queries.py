@@ -208,7 +208,7 @@ def op7(table):
 
 
 _W = "[^\\x20\\x09-\\x0D]+"
-OP8_SQL = f"""
+_LEDGER_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
       FROM (SELECT r, regexp_extract_all(t, '{_W}') AS ws FROM d)),
@@ -228,7 +228,8 @@ m AS (SELECT doc_id, coalesce(ww.n, 0)::BIGINT AS n_words, coalesce(ww.chars, 0)
       FROM d LEFT JOIN ww USING (r) LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
 b AS (SELECT *, ({' + '.join(f"CASE WHEN {cond} THEN {1 << i} ELSE 0 END" for i, cond in enumerate(rules.RULES.values()))})::BIGINT
              AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
+"""
+OP8_SQL = f"""{_LEDGER_SQL}SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
        (fail_bits & {rules.mask_of(rules.BASE)}) <> 0 AS base_failed,
        (fail_bits & {rules.mask_of(rules.POLICIES[rules.CURRENT])}) = 0 AS kept
 FROM b
@@ -243,6 +244,23 @@ def op8(table):
         "base_failed", "kept")
 
 
+_RULE_SQL = " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, {rules.mask_of([r])} AS bit" for r in rules.POLICIES[rules.CURRENT])
+ABLATION_SQL = f"""{_LEDGER_SQL.rstrip()},
+p AS (SELECT fail_bits & {rules.mask_of(rules.POLICIES[rules.CURRENT])} AS bits FROM b), r AS ({_RULE_SQL})
+SELECT rule, count(*) FILTER (bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (bits = bit)::BIGINT AS n_only,
+       count(*) FILTER (bits = 0 OR bits = bit)::BIGINT AS n_kept_without
+FROM p, r GROUP BY rule
+"""
+
+
+@query("rule_ablation", ABLATION_SQL)
+def rule_ablation(table):
+    """Per rule of the current policy: documents it fails, documents only it fails,
+    documents kept without it; bitwise over the ledger, summed by bit pattern first."""
+    return rules.ablation(rules.build_ledger(table("documents")))
+
+
 _T = [(k, sorted(set(text.split())), label) for k, (text, label) in enumerate(licenses.TEMPLATES)]
 _NEED = {k: licenses.needed(len(ws), licenses.THRESHOLD) for k, ws, _ in _T}
 _PHRASE = [(text.split(), label) for text, label in licenses.PHRASES]
