@@ -9,7 +9,8 @@ words.
 
 The model is fitted by gradient ascent on the log-likelihood of a bounded,
 hash-ordered sample of labelled documents (``FIT_DOCS`` documents of at most
-``FIT_CHARS`` characters); every word takes its document's label.  Scoring
+``FIT_CHARS`` characters, up to ``RARE_DOCS`` of every label first, so that a rare
+language is learned too); every word takes its document's label.  Scoring
 covers whole texts of all documents, in one pass without a shuffle.  Chains are
 cut into pieces whose transfer matrices are multiplied first, so a text of any
 length costs few array steps; the result equals the plain recursion.
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from storecast.llm import bytewords as bw
 from storecast.llm import charfeat as cf
 
 FIT_DOCS = 600
 FIT_CHARS = 50_000
+RARE_DOCS = 20         # documents of a label that come before all others in the sample
 BITS = 17
 ORDERS = (1, 2, 3)
 AFFIXES = (2, 3, 4)
@@ -203,13 +206,20 @@ def held_out(fold: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
-def fit_sample(docs: DataFrame, label: Column, may_learn: Column, rows: int, chars: int) -> list[tuple[str, str]]:
-    """(text, label) of at most ``rows`` labelled documents in hash order: the
-    ids are chosen on narrow columns, then their texts are read."""
+def fit_sample(docs: DataFrame, label: Column, may_learn: Column, rows: int, chars: int,
+               rare: int = RARE_DOCS) -> list[tuple[str, str]]:
+    """(text, label) of at most ``rows`` labelled documents in hash order, up to
+    ``rare`` of every label first: the ids are chosen on narrow columns, then their
+    texts are read.  Both choices keep a bounded number of rows a task."""
     labelled = docs.select("doc_id", "text", label.alias("_label"), may_learn.alias("_may"))
-    ids = (labelled.where(F.col("_may") & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
-           .select(F.col("doc_id").alias("_id")).distinct()
-           .orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(rows))
+    able = (labelled.where(F.col("_may") & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").alias("_id"), "_label", F.xxhash64("doc_id", F.lit(11)).alias("_at")).distinct())
+    of_label = W.partitionBy("_label").orderBy("_at", "_id")
+    first = able.withColumn("_n", F.row_number().over(of_label)).where(F.col("_n") <= rare)
+    first = first.select("_id", "_at", F.lit(0).alias("_turn"))
+    rest = able.select("_id", "_at", F.lit(1).alias("_turn")).distinct().orderBy("_at", "_id").limit(rows)
+    ids = (first.unionByName(rest).groupBy("_id", "_at").agg(F.min("_turn").alias("_turn"))
+           .orderBy("_turn", "_at", "_id").limit(rows).select("_id"))
     picked = (labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))       # at most ``rows`` ids
               .where(F.col("text").isNotNull() & F.col("_label").isNotNull() & (F.length("text") <= chars))
               .select("doc_id", "text", "_label"))
