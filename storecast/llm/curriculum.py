@@ -17,15 +17,20 @@ DataFrame and SQL functions only; no Python runs on the rows.
    at word x of the stream is trained at the t with D(t) = x (the inverse is a
    square root).  Documents are range-sorted by position.
 
-Running totals inside a source are made in two steps, over (source, bucket) and
-over the buckets of a source, so a source with a third of all rows is split over
-many tasks.  Tables of one row per source (and bucket) are the only ones sorted
-or numbered as a whole.
+Running totals inside a source are made in two steps.  All rows are cut into
+slices by a range partition on (source, order, id, size, text, row number), so a
+slice is bounded whatever the source, and rows that share an id or are null there
+are cut like any others.  Totals then run inside (source, slice) and over the
+slices of a source.  Slices grow in number with the rows.  Tables of one row per
+source (and slice) are the only ones sorted or numbered as a whole.
 
 A null text has size 0; a document of size 0 is taken in 0 words (and, in the
 mixed corpus, once if its midpoint passes, like any other).  A null source is a
-source of its own, last in order.  Repeated rows each count.  Reruns agree: the
-order depends on the ids only.
+source of its own, last in order.  Repeated rows each count; rows of one id (or
+none) follow by size and text.  Reruns agree: the order depends on the rows only,
+and rows alike in all of it give the same results in any order.  An empty table
+gives no rows.  Only doc_id, source and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ WEIGHTS = (5, 2, 1)                 # by source in code point order, repeating
 BUDGET = 1.5                        # words of the mix over words of all documents
 CAP = 2                             # most passes over a source
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (1.5, 0.5))   # (start, end), by source, repeating
-BUCKETS = 512                       # slices of a source's hash order
+SLICE_ROWS = 100_000                # rows aimed at in one slice of the order
 SEED = 20
 
 
@@ -83,19 +88,29 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
                     .alias("target"))
 
 
-def _offsets(rows: DataFrame, buckets: int) -> DataFrame:
+def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """The rows cut by a range partition on the whole order, with ``_slice``.  The
+    row number, stored with the rows, lets a cut fall between rows alike in all else."""
+    spark = rows.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // slice_rows))
+    ranged = rows.repartitionByRange(slices, F.col("source").asc_nulls_last(), "_order", "doc_id", "size", "text_key",
+                                     "_row")
+    return saved(ranged.withColumn("_slice", F.spark_partition_id()), "mix-slices")
+
+
+def _offsets(rows: DataFrame, slice_rows: int) -> DataFrame:
     """Adds ``_at``: words of the source's stream before this document."""
-    rows = rows.withColumn("_bucket", F.floor(F.col("_order") / F.lit((1 << 60) / buckets)).cast("int"))
-    per = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    of_source = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    start = per.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"),
+    rows = _sliced(rows, slice_rows)
+    per = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
+    of_source = W.partitionBy("source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    start = per.select(F.col("source").alias("_s"), F.col("_slice").alias("_b"),
                        F.coalesce(F.sum("_sum").over(of_source), F.lit(0)).alias("_start"))
-    within = (W.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size", "text_key")
+    within = (W.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size", "text_key", "_row")
               .rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     start = small(saved(start, "mix-starts"))
-    joined = rows.join(start, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("_at", F.col("_start") + F.col("_in")).drop("_s", "_b", "_start", "_in", "_bucket")
+    joined = rows.join(start, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_b")))
+    return joined.withColumn("_at", F.col("_start") + F.col("_in")).drop("_s", "_b", "_start", "_in", "_slice", "_row")
 
 
 def time_of(x: Column, target: Column, start: Column, end: Column) -> Column:
@@ -109,13 +124,13 @@ def time_of(x: Column, target: Column, start: Column, end: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap: int = CAP,
-        schedules: tuple = SCHEDULES, buckets: int = BUCKETS) -> DataFrame:
+        schedules: tuple = SCHEDULES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, passes
     (times taken), taken (words), positions (training time of each pass) and
     text_key."""
-    rows = saved(sized(docs), "mix-sizes")
+    rows = saved(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     share = saved(targets(rows, weights, budget, cap), "mix-targets")
-    r = _offsets(rows, buckets)
+    r = _offsets(rows, slice_rows)
     share = small(share).withColumnRenamed("source", "_s")
     r = r.join(share, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     passes = [F.col("_at") + F.col("source_size") * k for k in range(cap)]

@@ -62,7 +62,6 @@ def op3(table):
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-_STEP = (1 << 60) / curriculum.BUCKETS
 OP4_SQL = f"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
