@@ -16,7 +16,9 @@
 Texts are equal when they are identical after each run of ASCII blanks became
 one space; a null text counts as empty.  The row with the smallest doc_id of
 equal texts stays; among rows with that same id and an equal text, exactly one
-is marked as kept.  A null doc_id sorts before all others.
+is marked as kept, the one whose raw text hashes lowest.  A null doc_id sorts
+before all others.  A very long text is one row like any other.  An empty table
+gives no rows.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from storecast.llm.common import BLANK, saved, small, text_or_empty
 
@@ -165,7 +166,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``exact_groups`` with exactly one kept row per group, also where rows
-    repeat the smallest id: those few rows are numbered, all others are not."""
+    repeat the smallest id (or have none): the first of them stays."""
     rows = saved(exact_groups(docs), "dedup-rows")
     heads = rows.where("kept")
     ties = saved(heads.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1"), "dedup-ties")
@@ -176,7 +177,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left")
     marked = marked.drop("_id", "_sha")
     plain = marked.where(F.col("_tie").isNull() | ~F.col("kept")).drop("_tie")
-    tied = marked.where(F.col("_tie") & F.col("kept")).drop("_tie")
-    order = W.partitionBy("doc_id", "text_sha256").orderBy("text_key")
-    tied = (tied.withColumn("_n", F.row_number().over(order)).withColumn("kept", F.col("_n") == 1).drop("_n"))
+    # Row numbers stored with the rows; the first of a group is an aggregate combined on the
+    # map side, so that any number of copies without an id cross no shuffle as rows.
+    tied = saved(marked.where(F.col("_tie") & F.col("kept")).drop("_tie")
+                 .withColumn("_row", F.monotonically_increasing_id()), "dedup-tied")
+    firsts = saved(tied.groupBy("doc_id", "text_sha256").agg(F.min(F.struct("text_key", "_row")).alias("first"))
+                   .select(F.col("first._row").alias("_first")), "dedup-firsts")
+    tied = (tied.join(small(firsts), F.col("_row") == F.col("_first"), "left")
+            .withColumn("kept", F.col("_first").isNotNull()).drop("_row", "_first"))
     return plain.unionByName(tied)
