@@ -100,6 +100,14 @@ def stream_snapshot(t):
     return sc.read_counters(t.spark, root)
 
 
+@query("stream_reclaimed", COUNTER_SQL)
+def stream_reclaimed(t):
+    """The counters after older snapshots and batch folders were removed."""
+    root = work_path(t.spark, "stream", uuid.uuid4().hex)
+    _in_parts(t, root, snapshot_every=1)
+    return sc.read_counters(t.spark, root)
+
+
 MIDDLE, DELAY = "2024-01-20", "36 hours"
 
 

@@ -14,8 +14,10 @@ Three queries share the source, each with its own checkpoint:
   overwrites ``batch_id=N`` (a replayed batch rewrites the same folder, so the
   sink is exactly-once) and readers keep the newest batch per key.  Every
   ``snapshot_every`` batches the newest totals are written as one snapshot, so a
-  reader opens one snapshot and the few folders after it.  Weekly and monthly
-  counters are rolled up from the days at read time (S9/A1).
+  reader opens one snapshot and the few folders after it.  The last
+  ``SNAPSHOTS_KEPT`` snapshots and what follows them stay, older files are
+  removed.  Weekly and monthly counters are rolled up from the days at read time
+  (S9/A1).
 * buffer - the raw valid events as JSON payloads (S10).  With ``keep`` the buffer
   is trimmed after each batch to the newest ``keep`` messages (L3): folders below
   the cut leave the list of live folders, folders above it stay as they are, and
@@ -38,6 +40,7 @@ from storecast.operators.ordering import global_index, newest_by_key
 
 KEEP = 100_001              # messages the source's buffer holds
 SNAPSHOT_EVERY = 20         # batches from one snapshot of the counters to the next
+SNAPSHOTS_KEPT = 2          # the newest, and the one a replay of its batch starts from
 
 
 def _sales():
@@ -116,6 +119,19 @@ def _newest_commit(spark: SparkSession, folder: str, schema: str, before: int |
     return n, rows.where(F.col("upto") == n).drop("upto")
 
 
+def _clear(spark: SparkSession, path: str) -> None:
+    """Remove a folder's files: overwritten by no rows under a partition column,
+    it holds no data file."""
+    (spark.createDataFrame([], "part int, value int").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("part").parquet(path))
+
+
+def _commits_below(spark: SparkSession, folder: str, schema: str, upto: int) -> list:
+    """The commits below ``upto``; those of removed folders are gone, so a few."""
+    rows = spark.read.schema(f"{schema}, upto long").parquet(folder)
+    return rows.where((F.col("upto") < upto) & (F.col("upto") >= 0)).orderBy(F.col("upto").desc()).collect()
+
+
 def _daily(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family", "day").agg(F.max_by(F.struct("value", "n_events", "batch_id"), F.col("batch_id")).alias("r")
                                              ).select("family", "day", "r.*")
@@ -138,7 +154,21 @@ def snapshot(spark: SparkSession, root: str, upto: int) -> None:
     """Write the newest totals of all batches up to ``upto`` and commit them."""
     rows = _daily(_totals(spark, root, upto).where(F.col("batch_id") <= upto))
     rows.write.mode("overwrite").parquet(os.path.join(root, "snapshots", f"upto={upto}"))
-    _commit(spark.range(1).select(F.lit(1).cast("long").alias("n")), os.path.join(root, "snapshot_commits"), upto)
+    # The commit holds the snapshot before it: its own batches are those between.
+    before, _ = _newest_commit(spark, os.path.join(root, "snapshot_commits"), "n long", upto)
+    _commit(spark.range(1).select(F.lit(before).cast("long").alias("n")), os.path.join(root, "snapshot_commits"), upto)
+
+
+def drop_old_snapshots(spark: SparkSession, root: str, upto: int, kept: int = SNAPSHOTS_KEPT) -> None:
+    """Remove all but the newest ``kept`` (2 at least) snapshots up to ``upto``, and
+    the batch folders that the removed ones hold; a snapshot's commit goes last, so
+    a run that died here does the rest when its batch is replayed."""
+    commits = os.path.join(root, "snapshot_commits")
+    for c in _commits_below(spark, commits, "n long", upto + 1)[max(2, kept):]:
+        for batch_id in range(c["n"] + 1, c["upto"] + 1):
+            _clear(spark, os.path.join(root, "counters", f"batch_id={batch_id}"))
+        _clear(spark, os.path.join(root, "snapshots", f"upto={c['upto']}"))
+        _clear(spark, os.path.join(commits, f"upto={c['upto']}"))
 
 
 def _counter_writer(root: str, snapshot_every: int):
@@ -146,6 +176,7 @@ def _counter_writer(root: str, snapshot_every: int):
         batch.write.mode("overwrite").parquet(os.path.join(root, "counters", f"batch_id={batch_id}"))
         if snapshot_every and batch_id % snapshot_every == snapshot_every - 1:
             snapshot(batch.sparkSession, root, batch_id)
+            drop_old_snapshots(batch.sparkSession, root, batch_id)
     return write
 
 
@@ -157,6 +188,7 @@ def _live_buffer(spark: SparkSession, root: str, before: int | None = None) -> D
     folders cut by an earlier trim."""
     upto, live = _newest_commit(spark, os.path.join(root, "buffer_commits"), "kind string, at long", before)
     names = {"batch": [], "cut": []}
+    live = live.where(F.col("kind").isin(*names))
     for r in live.collect():                      # live folders: at most one per batch since the cut
         names[r["kind"]].append(r["at"])
     rows = spark.read.schema(BUFFER + ", batch_id long").parquet(os.path.join(root, "buffer"))
@@ -193,7 +225,24 @@ def trim(spark: SparkSession, root: str, keep: int, upto: int) -> None:
         live.where(some & (F.col("msg_id") >= lowest)).select("msg_id", "payload").write.mode("overwrite").parquet(
             os.path.join(root, "buffer_cut", f"cut={upto}"))
         rows.append(("cut", upto))
+    rows += [(f"old {f['kind']}", f["at"]) for f in folders if f["lo"] < lowest and f["at"] >= 0]
     _commit(spark.createDataFrame(rows, "kind string, at long"), os.path.join(root, "buffer_commits"), upto)
+    drop_trimmed(spark, root, upto)
+
+
+def drop_trimmed(spark: SparkSession, root: str, upto: int) -> None:
+    """Remove the folders that the trim before ``upto`` left out, and the commits
+    before that trim."""
+    commits = os.path.join(root, "buffer_commits")
+    older = _commits_below(spark, commits, "kind string, at long", upto)
+    last = max((c["upto"] for c in older), default=-1)
+    for c in older:
+        if c["upto"] == last and c["kind"] == "old batch":
+            _clear(spark, os.path.join(root, "buffer", f"batch_id={c['at']}"))
+        elif c["upto"] == last and c["kind"] == "old cut":
+            _clear(spark, os.path.join(root, "buffer_cut", f"cut={c['at']}"))
+    for n in sorted({c["upto"] for c in older} - {last}):
+        _clear(spark, os.path.join(commits, f"upto={n}"))
 
 
 def _buffer_writer(root: str, keep: int | None):

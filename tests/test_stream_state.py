@@ -74,3 +74,65 @@ def test_snapshots_equal_the_batch_rollup(spark, tmp_dir):
         sc.run_once(spark, src, root, snapshot_every=2)
     want = {(r.grain, r.family, r.period, r.value) for r in counter_rollup(valid_events(wire)).collect()}
     assert {(r.grain, r.family, r.period, r.value) for r in sc.read_counters(spark, root).collect()} == want
+
+
+def _files(folder):
+    return sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder)
+                  for f in names if f.startswith("part-"))
+
+
+def _holding(folder):
+    return {os.path.dirname(f) for f in _files(folder)}
+
+
+def test_old_snapshots_and_their_batches_are_removed(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "out")
+    write = sc._counter_writer(root, 3)
+
+    def batch(n):
+        return spark.createDataFrame([("A", "2024-01-01", n, 1), (f"f{n % 4}", "2024-01-02", n, 1)],
+                                     "family string, d string, v long, n_events long").select(
+            "family", F.col("d").cast("date").alias("day"), F.col("v").cast("decimal(38,2)").alias("value"), "n_events")
+
+    def want(last):
+        return {("A", last)} | {(f"f{k}", max(n for n in range(last + 1) if n % 4 == k)) for k in range(4)}
+
+    def got():
+        return {(r.family, int(r.value)) for r in sc.read_daily(spark, root).collect()}
+
+    for n in range(14):
+        write(batch(n), n)
+    # Snapshots at 2, 5, 8 and 11: the last two stay, with the batches after the older of them.
+    assert got() == want(13)
+    assert _holding(os.path.join(root, "snapshots")) == {"upto=8", "upto=11"}
+    assert _holding(os.path.join(root, "snapshot_commits")) - {"upto=-1"} == {"upto=8", "upto=11"}
+    assert _holding(os.path.join(root, "counters")) == {f"batch_id={n}" for n in range(6, 14)}
+    write(batch(14), 14)
+    left = _files(os.path.join(root, "counters"))
+    write(batch(14), 14)                       # a replay of the batch that removes
+    assert got() == want(14) and len(_files(os.path.join(root, "counters"))) == len(left)
+    # A run that died after the snapshot was written, before anything was removed.
+    for n in (15, 16, 17):
+        batch(n).write.mode("overwrite").parquet(os.path.join(root, "counters", f"batch_id={n}"))
+    sc.snapshot(spark, root, 17)
+    assert got() == want(17)
+    write(batch(17), 17)
+    assert got() == want(17) and _holding(os.path.join(root, "snapshots")) == {"upto=14", "upto=17"}
+
+
+def test_trimmed_folders_are_removed_one_trim_later(spark, tmp_dir):
+    src, root = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "out")
+    seen = []
+    for k in range(6):
+        ids = range(40 * k, 40 * k + 40)
+        sc.append_events(_batch(spark, ids), src)
+        sc.run_once(spark, src, root, keep=50)
+        seen += ids
+        assert [r.msg_id for r in sc.read_buffer(spark, root).orderBy("msg_id").collect()] == seen[-50:]
+    # The live folders of the last two trims, and no commit before those.
+    assert _holding(os.path.join(root, "buffer")) == {"batch_id=4", "batch_id=5"}
+    assert _holding(os.path.join(root, "buffer_cut")) == {"cut=4", "cut=5"}
+    assert _holding(os.path.join(root, "buffer_commits")) - {"upto=-1"} == {"upto=4", "upto=5"}
+    again = sc.ev.to_payload(sc.ev.valid_events(_batch(spark, range(200, 240))))
+    sc._buffer_writer(root, 50)(again, 5)
+    assert [r.msg_id for r in sc.read_buffer(spark, root).orderBy("msg_id").collect()] == seen[-50:]
