@@ -285,7 +285,7 @@ class RankedMerges:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
-_CODERS: dict[int, tuple] = {}   # one per worker process and rank table
+_CODERS: dict[int, tuple] = bw.keep({})   # one per worker process and rank table
 
 
 def _whole(ranks: dict[bytes, int], documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

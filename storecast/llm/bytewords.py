@@ -21,6 +21,23 @@ BLOCK_BYTES = 1 << 19
 _SPAN = 1 << 16
 
 
+# What operators keep between the tasks of a Python worker.
+_KEPT: list[dict] = []
+
+
+def keep(table: dict) -> dict:
+    """Register a table that ``release`` may empty."""
+    _KEPT.append(table)
+    return table
+
+
+def release() -> None:
+    """Give back the memory that other operators' tasks left in this worker."""
+    for table in _KEPT:
+        table.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))

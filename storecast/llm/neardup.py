@@ -46,6 +46,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 CELL = 256            # members of one side of a cell
+PIECE_PAIRS = 400_000  # equal shingles of two sides that are counted at a time (some 50 bytes each)
 SLACK = 0.2           # a signature this far below the threshold still counts as a candidate
 
 _WORDS = bw.table()
@@ -137,6 +138,7 @@ def _signer(bands: int, rows: int, n: int):
     mult = _multipliers(bands * rows)
 
     def run(batches):
+        bw.release()
         for batch in batches:
             data, offsets = bw.buffers(batch.column("text"))
             set_id, n_set, band, sig = [], [], [], []
@@ -232,6 +234,7 @@ EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 
 def _similar_signatures(passes: np.ndarray):
     def run(batches):
+        bw.release()
         u, v = [], []
         for cell in _in_cells(batches, "cell"):
             if cell.num_rows < 2:
@@ -281,7 +284,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     at = 0
     while at < len(ha):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + 2_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + PIECE_PAIRS, "right")))
         k = n[at:to]
         total = int(k.sum())
         if total:
@@ -294,6 +297,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 def _verify(threshold: float):
     def run(batches):
+        bw.release()
         for cell in _in_cells(batches, "cell"):
             ids = cell.column("set_id").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in cell.column("members").to_pylist()]
