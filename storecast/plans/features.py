@@ -46,30 +46,24 @@ def oil_filled(facts: DataFrame, t: Tables) -> DataFrame:
 
 
 def fact_keys(facts: DataFrame) -> DataFrame:
-    """The distinct dates and the distinct (store, family) pairs of the facts.
+    """The distinct dates, stores and families of the facts, each in rows of its own.
 
-    Both sets come from one pass over the facts; partial aggregation collapses
-    them map-side.  Their size is bounded by the domains (calendar days, stores
-    x families), not by the fact.  The result is cut from its lineage with a
-    reliable checkpoint, so the oil fill and the code fit both read it and
-    neither reads the facts again.
+    All three come from one pass over the facts; partial aggregation collapses
+    them map-side, as each set is bounded by its domain and not by the fact (the
+    pairs of stores and families are not: they grow with the fact).  The result is
+    cut from its lineage with a reliable checkpoint, so the oil fill and the code
+    fit both read it and neither reads the facts again.
     """
-    def key(is_date, date, store, family):
-        return F.struct(F.lit(is_date).alias("is_date"), date.alias("date"),
-                        store.alias("store_nbr"), family.alias("family"))
-    both = F.array(
-        key(True, F.col("date"), F.lit(None).cast("int"), F.lit(None).cast("string")),
-        key(False, F.lit(None).cast("date"), F.col("store_nbr").cast("int"),
-            F.col("family").cast("string")))
-    return facts.select(F.inline(both)).distinct().checkpoint(eager=True)
+    null = {"date": F.lit(None).cast("date"), "store_nbr": F.lit(None).cast("int"), "family": F.lit(None).cast("string")}
 
+    def key(kind):
+        value = F.col(kind).cast("int") if kind == "store_nbr" else F.col(kind)
+        return F.struct(F.lit(kind).alias("kind"), *[(value if c == kind else none).alias(c) for c, none in null.items()])
+    return facts.select(F.inline(F.array(*[key(c) for c in null]))).distinct().checkpoint(eager=True)
 
-def key_dates(keys: DataFrame) -> DataFrame:
-    return keys.where(F.col("is_date")).select("date")
 
-
-def key_pairs(keys: DataFrame) -> DataFrame:
-    return keys.where(~F.col("is_date")).select("store_nbr", "family")
+def key_values(keys: DataFrame, kind: str) -> DataFrame:
+    return keys.where(F.col("kind") == kind).select(kind)
 
 
 def checked_stores(t: Tables) -> DataFrame:
@@ -93,7 +87,7 @@ def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = Fa
         keys = fact_keys(facts)
     if stores is None:
         stores = checked_stores(t)
-    oil = fill.fill_over_dates(key_dates(keys), oil_by_day(t))
+    oil = fill.fill_over_dates(key_values(keys, "date"), oil_by_day(t))
     # The transaction join is the only side that may be too large to broadcast;
     # it runs first, so if it has to shuffle, the facts cross the shuffle narrow
     # and before the holiday fan-out.  The broadcast joins stay in one stage.
@@ -105,21 +99,24 @@ def joined(t: Tables, facts: DataFrame | None = None, dedupe_holidays: bool = Fa
 
 
 def code_inputs(keys: DataFrame, stores: DataFrame) -> DataFrame:
-    """The encoded columns as the joined table holds them, from a narrow input.
+    """The encoded columns' distinct values as the joined table holds them, from a narrow input.
 
     Every join after the facts is a left join, and the holiday fan-out only
-    repeats rows, so the joined table's values of family, city, state and type
-    are those of the distinct (store, family) pairs of the facts joined to the
-    stores.  Fitting on these pairs gives the same codes without computing the
-    oil, holiday and transaction joins first.
+    repeats rows, so the joined table's families are those of the facts, and its
+    values of city, state and type those of the facts' distinct stores joined to
+    the stores.  Reading these gives the same codes without computing the oil,
+    holiday and transaction joins first.
     """
-    return joins.join_stores(key_pairs(keys), stores, checked=False)
+    families = encode.distinct_values(key_values(keys, "family"), ["family"])
+    placed = joins.join_stores(key_values(keys, "store_nbr"), stores, checked=False)
+    return families.unionByName(encode.distinct_values(placed, [c for c in encode.ENCODED_COLUMNS if c != "family"]))
 
 
-def fit_feature_codes(t: Tables, keys: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+def fit_feature_codes(t: Tables, keys: DataFrame, stores: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     if stores is None:
         stores = checked_stores(t)
-    return encode.fit_codes(code_inputs(keys, stores))
+    codes = encode.rank_codes(code_inputs(keys, stores))
+    return codes.checkpoint(eager=True) if materialize else codes
 
 
 def facts_of(t: Tables) -> DataFrame:

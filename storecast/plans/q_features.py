@@ -144,14 +144,14 @@ def union_fresh(t):
 def label_encode(t):
     """Codes of family, city, state and type over the joined facts."""
     keys = ft.fact_keys(ft.facts_of(t))
-    return encode.fit_codes(ft.code_inputs(keys, ft.checked_stores(t)), materialize=False)
+    return ft.fit_feature_codes(t, keys, materialize=False)
 
 
 @query("family_classes", "select v value, code from codes where c = 'family'", extra=FACT_CTES)
 def family_classes(t):
     """A3: the sorted distinct families (the fitted classes)."""
     keys = ft.fact_keys(ft.facts_of(t))
-    codes = encode.fit_codes(ft.code_inputs(keys, ft.checked_stores(t)), materialize=False)
+    codes = ft.fit_feature_codes(t, keys, materialize=False)
     return encode.classes(codes, "family")
 
 
