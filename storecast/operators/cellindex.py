@@ -34,8 +34,11 @@ from pyspark.sql import types as T
 
 SAMPLE = 20_000
 ROUNDS = 8
-BLOCK_ROWS = 8192        # rows of one cell scored by one task
+BLOCK_ROWS = 32_768      # rows of one cell scored together
+QBLOCK_ROWS = 32_768     # queries of one cell scored together
+CHUNK_SCORES = 4 << 20   # scores held at once
 SLACK = 1e-6             # bounds are widened by this, so that rounding skips no row
+ROUNDING = 1e-11         # more than rounding to 12 digits moves a score
 ZERO = -1                # the cell of vectors without a direction
 
 
@@ -150,36 +153,67 @@ def _probed(probes: int):
 
 
 def _scan(k: int):
+    """The best rows of a block for each of its queries, scored as matrix products."""
+    def best(q, rows, rank, bound):
+        """(query, row, score) of each query's first ``k`` rows within its bound."""
+        scores = q @ rows.T
+        # A row within the bound has a cosine of at least 1 - bound^2 / 2.
+        least = 1.0 - (bound + SLACK) ** 2 / 2 - SLACK
+        wide = (scores >= least[:, None]).sum(axis=1) > 4 * k
+        if wide.any() and len(rows) > k:
+            least[wide] = np.partition(scores[wide], len(rows) - k, axis=1)[:, len(rows) - k] - ROUNDING
+        r, at = np.nonzero(scores >= least[:, None])
+        # Rounded, so that equal vectors tie whatever block they are scored in.
+        s = np.round(scores[r, at], 12)
+        order = np.lexsort((rank[at], -s, r))
+        r, at, s = r[order], at[order], s[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[first], at[first], s[first]
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": np.empty(0, np.int64), "id": np.empty(0, object), "score": np.empty(0)})
+        if not (len(left) and len(right)):
+            return none
+        left, right = left.sort_values("to_centre", ignore_index=True), right.sort_values("dist", ignore_index=True)
+        ids, qids, dist = right["id"].to_numpy(), left["qid"].to_numpy(), right["dist"].to_numpy()
+        rank = np.unique(ids.astype(str), return_inverse=True)[1]
+        rows, q = (np.stack(df["vec"].to_numpy()).astype(np.float64) for df in (right, left))
+        bound, to = left["bound"].to_numpy(), left["to_centre"].to_numpy()
+        zero = right["cell"].iloc[0] == ZERO
         out = []
-        if len(left) and len(right):
-            order = np.argsort(right["id"].to_numpy().astype(str), kind="stable")
-            ids, dist = right["id"].to_numpy()[order], right["dist"].to_numpy()[order]
-            rows = np.stack([np.asarray(v, np.float64) for v in right["vec"].to_numpy()[order]])
-            zero = right["cell"].iloc[0] == ZERO
-            for qid, q, bound, to in zip(left["qid"], left["vec"], left["bound"], left["to_centre"]):
-                at = np.arange(len(rows)) if zero else np.flatnonzero(np.abs(dist - to) <= bound + SLACK)
-                # Rounded, so that equal vectors tie whatever block they are scored in.
-                score = np.round(rows[at] @ np.asarray(q, np.float64), 12)
-                best = np.lexsort((at, -score))[:k]
-                out.append(pd.DataFrame({"qid": qid, "id": ids[at[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
+        for a in range(0, len(q), max(1, CHUNK_SCORES // len(rows))):
+            b = a + max(1, CHUNK_SCORES // len(rows))
+            # Rows whose distance to the centre differs by more than the bound from every query's are skipped.
+            lo, hi = (0, len(rows)) if zero else np.searchsorted(
+                dist, [(to[a:b] - bound[a:b]).min() - SLACK, (to[a:b] + bound[a:b]).max() + SLACK])
+            if hi > lo:
+                r, at, s = best(q[a:b], rows[lo:hi], rank[lo:hi], bound[a:b])
+                out.append((qids[a:b][r], ids[lo:hi][at], s))
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*out))))) if out else none
     return run
 
 
 def _read_cells(index: CellIndex, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """The best rows of the asked (query, cell) pairs, cell by cell and block by block."""
-    blocks = {int(c): max(1, -(-int(n) // block_rows)) for c, n in zip(index.cells["cell"], index.cells["n"])}
+    """The best rows of the asked (query, cell) pairs, by blocks of a cell's rows and of its queries."""
+    n = dict(zip(index.cells["cell"].tolist(), index.cells["n"].tolist()))
+    counts = [(r.cell, max(1, -(-n[r.cell] // block_rows)), -(-r["count"] // QBLOCK_ROWS))     # one row per cell
+              for r in asked.groupBy("cell").count().collect()]
     spark = asked.sparkSession
-    counts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [(0, 1)], "cell int, blocks int"))   # one row per cell
-    left = asked.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = index.rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    counts = F.broadcast(spark.createDataFrame(counts, "cell int, blocks int, parts int"))
+
+    def other(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def own(key, n):
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     # Cells nobody asks for are not shuffled.
-    wanted = F.broadcast(asked.select("cell").distinct())
-    right = right.join(wanted, "cell", "left_semi")
+    left = asked.join(counts, "cell").withColumn("block", other("blocks")).withColumn("part", own("qid", "parts"))
+    right = index.rows.join(counts, "cell").withColumn("part", other("parts")).withColumn("block", own("id", "blocks"))
+    key = ["cell", "block", "part"]
     kind = asked.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", kind), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(_scan(k), schema)
+    return (left.drop("blocks", "parts").groupBy(*key).cogroup(right.drop("blocks", "parts").groupBy(*key))
+            .applyInPandas(_scan(k), schema))
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
