@@ -5,7 +5,7 @@ at position ``md5(seed, i) mod rows``.  The result depends on the keys and the
 seed only, never on the partitioning.  No global sort is needed: rows are
 counted by the first four hex digits of their md5 (65,536 buckets at most), a
 running sum over those counts turns a position into a bucket and an offset,
-and only rows of drawn buckets are ranked.
+and md5s alone are ranked within the buckets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storecast.operators.joins import broadcast_if_small
+
 BUCKET_DIGITS = 4      # 16^4 buckets
 
 
@@ -37,8 +39,18 @@ def draw_with_replacement(df: DataFrame, key: Column, n: int, seed: int) -> Data
     draws = (draws.withColumn("_cell", F.floor(F.col("_pos") / width)).join(cells, "_cell")
                   .where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_n")))
                   .select("draw", "_b", (F.col("_pos") - F.col("_start")).cast("bigint").alias("_at")))
-    # At most one row per bucket, whatever the number of draws.
-    drawn = F.broadcast(draws.select("_b").distinct())
-    ranked = rows.join(drawn, "_b", "left_semi").withColumn(
-        "_at", (F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1).cast("bigint"))
-    return draws.join(ranked, ["_b", "_at"]).select("draw", *[F.col(c) for c in df.columns])
+    # Only the md5s are put in order; the drawn ones then fetch their rows.  Rows
+    # of one md5 (a repeated key) stand in the order of their columns.
+    ranks = rows.select("_b", F.unhex("_h").alias("_m")).withColumns({
+        "_at": (F.row_number().over(_in_bucket()) - 1).cast("bigint"),
+        "_nth": (F.row_number().over(_in_bucket()) - F.rank().over(_in_bucket())).cast("bigint")})
+    picked = broadcast_if_small(draws.checkpoint(eager=True)).join(ranks, ["_b", "_at"]).select("draw", "_m", "_nth")
+    picked = picked.checkpoint(eager=True)
+    drawn = broadcast_if_small(picked.select("_m").distinct())
+    found = rows.select(F.unhex("_h").alias("_m"), *df.columns).join(drawn, "_m", "left_semi").withColumn(
+        "_nth", (F.row_number().over(Window.partitionBy("_m").orderBy(*df.columns)) - 1).cast("bigint"))
+    return picked.join(found, ["_m", "_nth"]).select("draw", *[F.col(c) for c in df.columns])
+
+
+def _in_bucket():
+    return Window.partitionBy("_b").orderBy("_m")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from storecast.operators import ordering
@@ -10,6 +12,7 @@ from storecast.operators.sample import draw_with_replacement
 from storecast.plans import features as ft
 from storecast.plans import records as rc
 from storecast.plans.catalog import query
+from storecast.session import work_path
 from storecast.sources import fixtures as fx
 
 REC_CTES = """
@@ -209,7 +212,10 @@ def bootstrap_sample(t):
     """One draw per 100 sales, exactly, seeded and with replacement, with
     the promo uplift applied to each (the producer's draw, as one job)."""
     from storecast.operators.scenario import promo_uplift
-    s = fx.r_sales(t)
+    # The sales are read several times: written once, their joins are made once.
+    path = work_path(t.spark, "sales", uuid.uuid4().hex)
+    fx.r_sales(t).write.parquet(path)
+    s = t.spark.read.parquet(path)
     drawn = draw_with_replacement(s, rc.row_key(), s.count() // 100, seed=42)
     return drawn.select("draw", "store_nbr", "family", "onpromotion", "sales").withColumn(
         "simulated", promo_uplift(F.col("sales"), F.col("onpromotion")))
