@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from storecast.operators import scenario as sc
 from storecast.operators.sample import draw_with_replacement
 from storecast.operators.topk import _top_in_cell
 from storecast.plans import features as ft
+from storecast.sources import fixtures as fx
 from tests.test_cellindex import brute
 
 
@@ -71,6 +73,17 @@ def test_a_large_transaction_side_is_joined_in_bounded_pieces(spark, monkeypatch
     assert {(r.n, r.transactions) for r in out.collect()} == {(i, i if i < 200 else 0) for i in range(300)}
 
 
+def test_transactions_of_a_large_table_are_counted_in_bounded_pieces(spark, monkeypatch):
+    t = SimpleNamespace(
+        lineitem=spark.range(400).selectExpr("id div 4 l_orderkey", "id % 7 l_suppkey"),
+        orders=spark.range(100).selectExpr("id o_orderkey", "date_add(date'2001-01-01', cast(id % 5 as int)) o_orderdate"))
+    want = {tuple(r) for r in fx.r_transactions(t).collect()}
+    monkeypatch.setattr(fx, "PART_ROWS", 20)
+    out = fx.r_transactions(t)
+    assert "RepartitionByExpression [l_orderkey" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_cells_split_their_queries_too(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(ci, "QBLOCK_ROWS", 4)
     monkeypatch.setattr(ci, "CHUNK_SCORES", 50)
