@@ -3,10 +3,12 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from storecast.models import boost
+from storecast.operators import cellindex as ci
 
 
 def numbers(spark, n, parts=4):
@@ -80,3 +82,37 @@ def test_sums_that_a_double_cannot_hold_are_added_in_parts():
     run = boost._summer("x", [], boost.Tree().arrays(), 0, np.zeros(1, np.int32), 1, np.array([0, 1]), 4.0)
     (_, (at, g, rows)), = run(0, iter([record]))
     assert rows.tolist() == [n] and g.tolist() == [n * 2 ** 52 + n * (n - 1) // 2]
+
+
+def test_probes_are_chosen_by_reading_every_cell_once_from_dealt_queries(spark, tmp_dir, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 5)))] + [("z", [0.0] * 5)]
+    corpus = spark.createDataFrame(rows, "id string, values array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 5)))], "qid long, qvec array<double>").coalesce(1)
+    index = ci.build(corpus, ci.fit_centroids(corpus, 6), os.path.join(tmp_dir, "cells"))
+    exact = ci.search(index, asked, 4)[0].checkpoint(eager=True)
+    read, parts, plain = [], [], ci._asked
+
+    def counted(*a):
+        pairs, n = plain(*a)
+        read.append(sum(n.values()))
+        parts.append(pairs.rdd.getNumPartitions())
+        return pairs, n
+    monkeypatch.setattr(ci, "_asked", counted)
+    chosen = ci.choose_probes(index, asked, exact, 4, target=0.999)
+    assert sum(read) <= 40 * len(index.cells) and set(parts) == {ci.DEALT * spark.sparkContext.defaultParallelism}
+    monkeypatch.setattr(ci, "_asked", plain)
+    shares = {p: ci.recall(exact, ci.probe_search(index, asked, 4, p)).first().recall for p in (1, 2, 4, 8)}
+    assert chosen[1] == shares[chosen[0]] and chosen[0] == min(p for p, s in shares.items() if s >= 0.999 or p == 8)
+
+
+def test_rows_equal_to_single_precision_are_told_apart():
+    rng = np.random.default_rng(6)
+    one = ci.unit(rng.normal(size=(1, 16)))[0]
+    rows = ci.unit(np.array([one + 1e-9 * i * rng.normal(size=16) for i in range(600)]))
+    left = pd.DataFrame({"qid": [1], "vec": [one], "bound": [np.inf], "to_centre": [0.5], "cell": [0]})
+    right = pd.DataFrame({"cell": 0, "id": [f"{i:04d}" for i in range(600)], "vec": list(rows), "dist": 0.5})
+    got = ci._scan(5)(left, right)
+    s = np.round(rows @ one, 12)
+    want = sorted(range(600), key=lambda i: (-s[i], i))[:5]
+    assert got["id"].tolist() == [f"{i:04d}" for i in want] and np.allclose(got["score"], s[want], atol=1e-11)
